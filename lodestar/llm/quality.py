@@ -96,10 +96,9 @@ def descend(rows: list[tuple[int, np.ndarray, np.ndarray]], *, epochs: int = EPO
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    rows = labelled.where(F.col(label_col).isin(0, 1) & (F.coalesce(F.length(text_col), F.lit(0)) <= TRAIN_CHARS))
-    sample = bounded_sample(rows.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"), F.col(text_col).alias("_text")), "_label", "_id", per_class)
-    kind = labelled.schema[id_col].dataType.simpleString()
+def train(sample: DataFrame) -> tuple[np.ndarray, float]:
+    """From (_id, _label, _text) rows, a bounded number of them."""
+    kind = sample.schema["_id"].dataType.simpleString()
     got = sample.mapInArrow(sparse_counts, f"id {kind}, label int, buckets array<int>, counts array<int>").toArrow()
     rows = sorted(zip(got["id"].to_pylist(), got["label"].to_pylist(), range(got.num_rows)), key=lambda r: (str(r[0]), r[1]))
     arrays = [(c.combine_chunks().flatten().to_numpy(), np.concatenate([[0], np.cumsum(c.combine_chunks().value_lengths().to_numpy())])) for c in (got["buckets"], got["counts"])] if got.num_rows else []
@@ -132,14 +131,16 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, float], *, id_col: str = "
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, mod: int, left_out: int) -> DataFrame:
-    """Documents with their label, without those that are held out. Both sides are cut to the learnable rows before the join."""
-    learn = lambda df: df.where(crc_mod(F.col(id_col), mod) != left_out)
-    return learn(docs.select(id_col, text_col)).join(learn(labels.select(id_col, label_col)), id_col)
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, mod: int, left_out: int, per_class: int, most_chars: int) -> DataFrame:
+    """(_id, _label, _text) of about `per_class` learnable rows of each class. Chosen from the labels alone, so the broadcast side has a few thousand rows at any size and no text is shuffled."""
+    learn = labels.where((crc_mod(F.col(id_col), mod) != left_out) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    chosen = bounded_sample(learn, "_label", "_id", per_class)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where(F.length("_text") <= most_chars)
+    return rows.join(F.broadcast(chosen), "_id").select("_id", "_label", "_text")
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 5, threshold: float = 0.3) -> DataFrame:
     """Learns from labelled rows whose crc32(id as text) modulo `held_out_mod` is not 0, scores all: doc_id, held_out, score, predicted."""
-    model = train(labelled_rows(docs, labels, "quality", id_col, text_col, held_out_mod, 0), id_col=id_col, text_col=text_col)
+    model = train(labelled_sample(docs, labels, "quality", id_col, text_col, held_out_mod, 0, TRAIN_ROWS, TRAIN_CHARS))
     scored = predict(docs, model, id_col=id_col, text_col=text_col, threshold=threshold)
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), held_out_mod) == 0).alias("held_out"), "score", "predicted")
