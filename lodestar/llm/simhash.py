@@ -80,9 +80,9 @@ def unary_popcounts(fp: Column) -> Column:
 
 
 def grid_groups(fingerprints_n: int, distance: int = DISTANCE) -> int:
-    """The number of coordinate groups. A further group costs more rows per fingerprint and makes random meetings about ten times rarer."""
-    groups = distance + 1
-    while fingerprints_n > 200_000 * 12 ** (groups - distance - 1) and groups < distance + 4:
+    """The number of coordinate groups. A further group costs more rows per fingerprint and makes random meetings about ten times rarer; this keeps them at about a thousand per fingerprint."""
+    groups = distance + 2
+    while fingerprints_n > 5_000_000 * 10 ** (groups - distance - 2) and groups < distance + 5:
         groups += 1
     return groups
 
