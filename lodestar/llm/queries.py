@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_url_filters": url_filter.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE}

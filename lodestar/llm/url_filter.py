@@ -76,12 +76,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def grams(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
-    """The distinct buckets of the character n-grams of the host (3 to 5) and of the path (3 and 4), each with its ends marked."""
+    """The distinct buckets of the character n-grams of the host (3 to 5) and of the path (3 and 4), each with its ends marked. A bucket is the first three hexadecimal digits of an MD5, which any SQL engine can tell."""
 
     def of(text: Column, kind: str, n: int) -> Column:
         marked = F.concat(F.lit("^"), text, F.lit("$"))
         last = F.length(marked) - (n - 1)
-        hashed = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.concat(F.lit(kind), F.substr(marked, i, F.lit(n)))), F.lit(buckets)).cast("int"))
+        hashed = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(kind), F.substr(marked, i, F.lit(n))).cast("binary")), 1, 3), 16, 10).cast("int"), F.lit(buckets)))
         return F.when(last >= 1, hashed).otherwise(F.array().cast("array<int>"))
 
     return F.array_distinct(F.concat(*(of(host, "h", n) for n in (3, 4, 5)), *(of(path, "p", n) for n in (3, 4))))
@@ -123,7 +123,7 @@ def fitting_rule(host: Column, path: Column, rules) -> Column:
 
 
 def judge_urls(pages: DataFrame, *, rules=RULES, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, score (the method's probability that the url is unwanted)."""
+    """One row per page: page_id, host, path, rule, verdict, score (the method's probability that the url is unwanted, to 6 digits)."""
     host, path = host_and_path(F.coalesce(F.col(url_col), F.lit("")))
     model = train(labelled if labelled is not None else labelled_urls(pages.sparkSession))
     judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -132,4 +132,35 @@ def judge_urls(pages: DataFrame, *, rules=RULES, labelled: DataFrame | None = No
     verdict = F.lit(None).cast("string")
     for action, rule in rules:
         verdict = F.when(F.col("rule") == rule, F.lit(action)).otherwise(verdict)
-    return judged.withColumn("score", 1 / (1 + F.exp(-total))).select("page_id", "host", "path", "rule", F.coalesce(verdict, F.when(F.col("score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "score")
+    return judged.withColumn("score", F.round(1 / (1 + F.exp(-total)), 6)).select("page_id", "host", "path", "rule", F.coalesce(verdict, F.when(F.col("score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "score")
+
+
+def grams_sql(host: str, path: str) -> str:
+    def of(text: str, kind: str, n: int) -> str:
+        return f"CASE WHEN length({text}) + 2 >= {n} THEN list_transform(range(1, length({text}) + {4 - n}), lambda i: CAST('0x' || substr(md5('{kind}' || substr('^' || {text} || '$', CAST(i AS INT), {n})), 1, 3) AS INT)) ELSE [] END"
+
+    parts = [of(host, "h", n) for n in (3, 4, 5)] + [of(path, "p", n) for n in (3, 4)]
+    return "list_distinct(" + "list_concat(" * (len(parts) - 1) + parts[0] + "".join(f", {p})" for p in parts[1:]) + ")"
+
+
+def oracle(rules=RULES) -> str:
+    """The rules, the training and the scores as SQL."""
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    host, path = f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), {letters})", f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+    table = ", ".join([f"('{u}', 0.0)" for u in GOOD_URLS] + [f"('{u}', 1.0)" for u in BAD_URLS])
+    fits = lambda r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in sorted(rules, key=lambda r: (-len(r[1]), r[1]))) + " END"
+    verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{a}'" for a, r in rules) + " ELSE CASE WHEN score >= 0.5 THEN 'block' ELSE 'allow' END END"
+    return f"""WITH RECURSIVE labelled(url, y) AS (SELECT url, CAST(y AS DOUBLE) FROM (VALUES {table}) t(url, y)),
+ex AS (SELECT url, y, {grams_sql("host", "path")} AS g, row_number() OVER (ORDER BY url) AS i FROM (SELECT url, y, {host} AS host, {path} AS path FROM labelled)),
+k AS (SELECT a.i, any_value(a.y) AS y, list(len(list_intersect(a.g, b.g)) / sqrt(CAST(len(a.g) * len(b.g) AS DOUBLE)) + 1.0 ORDER BY b.i) AS row FROM ex a, ex b GROUP BY a.i),
+m AS (SELECT list(y ORDER BY i) AS y, list(row ORDER BY i) AS k, count(*) AS n FROM k),
+fit(step, a) AS (SELECT 0, list_transform(y, lambda v: CAST(0 AS DOUBLE)) FROM m
+  UNION ALL SELECT step + 1, list_transform(range(1, n + 1), lambda i: a[i] + {RATE} * (y[i] - 1 / (1 + exp(-list_inner_product(k[i], a))) - {L2} * a[i])) FROM fit, m WHERE step < {EPOCHS}),
+alpha AS (SELECT i, a[i] AS a, g FROM ex, fit WHERE step = {EPOCHS}),
+w AS (SELECT bucket, sum(v) AS w FROM (SELECT unnest(g) AS bucket, a / sqrt(CAST(len(g) AS DOUBLE)) AS v FROM alpha) GROUP BY bucket),
+judged AS (SELECT page_id, host, path, {rule} AS rule, {grams_sql("host", "path")} AS g FROM (SELECT page_id, {host} AS host, {path} AS path FROM (SELECT page_id, coalesce(url, '') AS url FROM pages))),
+sums AS (SELECT page_id, sum(w) AS s FROM (SELECT page_id, unnest(g) AS bucket FROM judged) JOIN w USING (bucket) GROUP BY page_id),
+scored AS (SELECT page_id, host, path, rule, round(1 / (1 + exp(-(coalesce(s, 0) / sqrt(CAST(greatest(len(g), 1) AS DOUBLE)) + (SELECT sum(a) FROM alpha)))), 6) AS score FROM judged LEFT JOIN sums USING (page_id))
+SELECT page_id, host, path, rule, {verdict} AS verdict, score FROM scored"""

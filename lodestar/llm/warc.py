@@ -113,3 +113,12 @@ def archive_digest(pages: DataFrame, *, path: str | None = None, id_col: str = "
     found = records.join(read_payloads(spark, path).drop("payload"), "payload_key")
     refers = F.regexp_extract(F.coalesce(header_field(F.col("header"), "WARC-Refers-To"), F.lit("")), r"^<urn:page:(.*)>$", 1)
     return found.select("page_id", "payload_bytes", "payload_digest", header_field(F.col("header"), "WARC-Type").alias("record_type"), F.nullif(refers, F.lit("")).cast(pages.schema[id_col].dataType).alias("refers_to"), "verified")
+
+
+ORACLE = f"""
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('{BASE32}', CAST(((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM holder THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM holder THEN holder END AS refers_to, true AS verified
+FROM (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS holder FROM pages)
+"""
