@@ -11,7 +11,7 @@ sentences: strings (words and word beginnings) that cover many toxic texts and f
 ordinary words. The kernel matrix of the landmarks to the power -1/2 maps the values to Nyström
 coordinates, on which a linear SVM is trained by subgradient descent, with a logistic curve on its margin.
 
-Toxic training texts appear twice, the second time with a foreign character put inside each insult.
+Toxic training texts appear twice, the second time with one insult left, which has a foreign character inside.
 Training uses about TRAIN_ROWS labelled rows of each class, of at most TRAIN_CHARS characters. The model
 is a few kilobytes and is broadcast. Every text is scored whole, in place, without a shuffle. A worker
 keeps the kernel values of at most REMEMBERED units.
@@ -143,17 +143,19 @@ def chosen_landmarks(bags: list[set[str]], labels: np.ndarray) -> list[str]:
         own = {stripped(u) for u in bag}
         for s in {w[:k] for w in own for k in {*range(4, min(len(w), PART) + 1), min(len(w), 2 * PART)} if len(w) >= 4}:
             holders[s].append(i)
-    need = max(3, int(labels.sum()) // 200)
+    need = max(3, int(labels.sum()) // 60)
     candidates = {s: (np.array([i for i in at if labels[i]]), sum(1 for i in at if not labels[i])) for s, at in holders.items() if len(at) >= need}
     candidates = {s: v for s, v in candidates.items() if len(v[0]) >= max(need, 4 * v[1])}
     picked, covered = [], np.zeros(len(bags))
     for _ in range(TOXIC_LANDMARKS):
         best, gain = None, 0.0
         for s, (at, others) in candidates.items():
-            if (g := (float((0.3 ** covered[at]).sum()) - 2 * others) * (1 + 0.04 * len(s))) > gain:
+            if (g := (float((0.6 ** covered[at]).sum()) - 2 * others) * (1 + 0.04 * len(s))) > gain:
                 best, gain = s, g
         if best is None or gain < need / 2:
             break
+        most = len(candidates[best][0])
+        best = max((s for s, v in candidates.items() if s.startswith(best) and len(v[0]) >= 0.8 * most), key=len)
         picked.append(best)
         covered[candidates[best][0]] += 1
         candidates = {s: v for s, v in candidates.items() if not s.startswith(best[:5]) and not best.startswith(s)}
@@ -167,16 +169,15 @@ def chosen_landmarks(bags: list[set[str]], labels: np.ndarray) -> list[str]:
     return picked
 
 
-def with_insertions(bag: set[str], landmarks: tuple[str, ...]) -> set[str]:
-    """The bag with a foreign character inside every unit that begins with a toxic landmark: what the training shows as a disguised insult."""
-    out = set()
-    for u in bag:
-        s = stripped(u)
-        if s.startswith(landmarks):
-            at = 1 + len(s) % 3
-            s = s[:at] + "-*_."[len(s) % 4] + s[at:]
-        out.add(s)
-    return out
+def with_insertions(bag: set[str], landmarks: tuple[str, ...], seed: int) -> set[str]:
+    """The bag with one of its insults left, and a foreign character inside that: what the training shows as a disguised insult."""
+    insults = sorted(s for u in bag if (s := stripped(u)).startswith(landmarks))
+    rest = {u for u in bag if not stripped(u).startswith(landmarks)}
+    if insults:
+        s = insults[seed % len(insults)]
+        at = 1 + (len(s) + seed) % 3
+        rest.add(s[:at] + "-*_.x"[seed % 5] + s[at:])
+    return rest
 
 
 class Model:
@@ -220,7 +221,7 @@ def fit(texts: list[str], labels: np.ndarray, *, rounds: int = 3000, penalty: fl
     bags = [units(t) for t in texts]
     landmarks = chosen_landmarks(bags, labels)
     toxic = tuple(landmarks[: len(landmarks) - OTHER_LANDMARKS])
-    bent = [with_insertions(b, toxic) for b, label in zip(bags, labels) if label == 1]
+    bent = [with_insertions(b, toxic, i) for i, (b, label) in enumerate(zip(bags, labels)) if label == 1]
     bags, labels = bags + bent, np.concatenate([labels, np.ones(len(bent), labels.dtype)])
     own = own_kernel(as_codes(landmarks))
     k_mm = similarities(landmarks, landmarks, own).astype(np.float64)
@@ -235,7 +236,7 @@ def fit(texts: list[str], labels: np.ndarray, *, rounds: int = 3000, penalty: fl
         short = (y * (x @ w) < 1) * share * y
         w = w - 8.0 / np.sqrt(1 + t) * (penalty * w - x.T @ short / len(y))
         mean += w / rounds
-    margin, prior = x @ mean, np.where(y > 0, 0.4, 1.6) * share  # toxic texts are the rarer ones
+    margin, prior = x @ mean, np.where(y > 0, 0.25, 1.75) * share  # toxic texts are the rarer ones
     a, b = 1.0, 0.0
     for _ in range(500):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -60, 60)))
