@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.storage import drop_scratch, scratch, shared_dir, written
+
+__all__ = ["ascii_lower", "blocks", "bounded_sample", "char_tables", "code_points", "crc_mod", "drop_scratch", "lowered", "mix", "scratch", "shared_dir", "table", "words", "written"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -16,39 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        sc.setCheckpointDir(f"{tempfile.gettempdir()}/lodestar-checkpoints")
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, under this application's own name."""
-    return f"{shared_dir(spark)}/lodestar-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
-def drop_scratch(spark: SparkSession, path: str | None = None) -> None:
-    """Deletes one scratch path, or all that this application wrote; frames read from there end with it."""
-    root = path or f"{shared_dir(spark)}/lodestar-{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(root)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: its lineage ends there and lost executors cost no recomputation."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -65,17 +33,17 @@ _TABLES: dict[str, np.ndarray] = {}
 BLOCK_CHARS = 400_000
 
 
-def char_tables() -> tuple[np.ndarray, np.ndarray]:
-    """For the code points below 65,536: their lower case (where that is one code point), and whether they are letters or digits."""
+def char_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the code points below 65,536: their lower case (where that is one code point), and whether they are letters or digits, and letters."""
     if not _TABLES:
-        lower, word = np.arange(65536, dtype=np.uint32), np.zeros(65536, dtype=bool)
+        lower, word, letter = np.arange(65536, dtype=np.uint32), np.zeros(65536, dtype=bool), np.zeros(65536, dtype=bool)
         for i in range(65536):
             c = chr(i)
             if (low := c.lower()) != c and len(low) == 1:
                 lower[i] = ord(low)
-            word[i] = c.isalnum()
-        _TABLES.update(lower=lower, word=word)
-    return _TABLES["lower"], _TABLES["word"]
+            word[i], letter[i] = c.isalnum(), c.isalpha()
+        _TABLES.update(lower=lower, word=word, letter=letter)
+    return _TABLES["lower"], _TABLES["word"], _TABLES["letter"]
 
 
 def blocks(texts: list[str | None], limit: int = BLOCK_CHARS):
@@ -97,18 +65,22 @@ def code_points(texts: list[str], gap: int = 1) -> tuple[np.ndarray, np.ndarray,
     joined = ("\0" * gap).join(texts) + "\0" * gap
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.concatenate([[0], np.cumsum(lengths + gap)[:-1]]).astype(np.int64)
+    starts = np.cumsum(lengths + gap) - (lengths + gap)
     return cp, starts, starts + lengths
 
 
-def lowered(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code points in lower case, which are letters or digits); code points from 65,536 on are kept and count as letters."""
-    lower, word = char_tables()
+def lowered(cp: np.ndarray, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(code points in lower case, which are letters or digits, or which are letters). Case is kept from code point 65,536 on."""
+    lower, word, letter = char_tables()
+    kind = letter if letters_only else word
     if len(cp) and int(cp.max()) >= 65536:
         high = cp >= 65536
         low = np.where(high, 0, cp)
-        return np.where(high, cp, lower[low]), np.where(high, True, word[low])
-    return lower[cp], word[cp]
+        rare, which = np.unique(cp[high], return_inverse=True)
+        is_kind = kind[low]
+        is_kind[high] = np.array([chr(c).isalpha() if letters_only else chr(c).isalnum() for c in rare.tolist()], bool)[which]
+        return np.where(high, cp, lower[low]), is_kind
+    return lower[cp], kind[cp]
 
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)

@@ -57,7 +57,8 @@ def seeds(hashes: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
 class Block:
     """Seeds of some items, sorted, with where they are; and the items' words."""
 
-    def __init__(self, item_ids: list, texts: list[str | None]):
+    def __init__(self, item_ids: list, texts: list[str | None], id_type: pa.DataType | None = None):
+        self.id_type = id_type or pa.int64()
         self.hashes, self.first = hashed_words([t or "" for t in texts])
         self.item_ids, size = item_ids, np.diff(self.first)
         owner = np.repeat(np.arange(len(item_ids)), size)
@@ -131,22 +132,23 @@ def benchmark_blocks(benchmark: DataFrame, *, id_col: str = "item_id", text_col:
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total * 2 // block_chars)) if total > block_chars else 1
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).toArrow().to_pydict() if n > 1 else items.toArrow().to_pydict()
-        order = sorted(range(len(rows["id"])), key=lambda i: (str(rows["id"][i]), rows["text"][i]))
-        yield Block([rows["id"][i] for i in order], [rows["text"][i] for i in order])
+        rows = (items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else items).toArrow()
+        ids, texts = rows["id"].to_pylist(), rows["text"].to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (str(ids[i]), texts[i]))
+        yield Block([ids[i] for i in order], [texts[i] for i in order], rows.schema.field("id").type)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids (the overlapping items, ascending), spans (item, first word of the best window, equal words)."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"doc_id {kind}, spans array<struct<item_id:{item_kind},start_word:bigint,equal_words:bigint>>"
-    span_type = pa.list_(pa.struct([("item_id", pa.int64() if item_kind == "bigint" else pa.string()), ("start_word", pa.int64()), ("equal_words", pa.int64())]))
     found = None
     for block in benchmark_blocks(benchmark, id_col=item_col, block_chars=block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = shared.value
+            span_type = pa.list_(pa.struct([("item_id", held.id_type), ("start_word", pa.int64()), ("equal_words", pa.int64())]))
             for batch in batches:
                 spans = [[] for _ in range(batch.num_rows)]
                 for start, part in blocks(batch.column(1).to_pylist()):

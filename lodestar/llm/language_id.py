@@ -31,8 +31,7 @@ UNKNOWN = "und"
 def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of every n-gram, each text's first entry with the total at the end, whether a text has a letter). Runs of other characters count as one blank at a word's edge."""
     cp, starts, ends = code_points(texts, gap=max(ORDERS))
-    low, word = lowered(cp)
-    letter = word & ~((low >= 48) & (low <= 57))
+    low, letter = lowered(cp, letters_only=True)
     has = np.add.reduceat(letter.astype(np.int64), starts) > 0 if len(starts) else np.empty(0, bool)
     value = np.where(letter, low, 32).astype(np.uint32)
     keep = letter.copy()
