@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.constants import KINDS
 from lodestar.operators import compare as comparison
 from lodestar.operators import symbols
 from lodestar.operators.fusion import HybridSearcher
@@ -17,6 +19,8 @@ from lodestar.sources import files, sinks
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lodestar")
     sub = top.add_subparsers(dest="command", required=True)
+    for name in ("repl", "graph-repl"):
+        sub.add_parser(name).add_argument("path")
     for name in ("chunk", "graph"):
         p = sub.add_parser(name)
         p.add_argument("root")
@@ -37,6 +41,55 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+class Session:
+    """An interactive search: lines that begin with ":" set what follows, others are queries."""
+
+    HELP = ":n K  :kind NAMES  :file PART  :depth N  :decay X  :full  :reset  :quit"
+
+    def __init__(self, searcher, graph: bool):
+        self.searcher, self.graph = searcher, graph
+        self.reset()
+
+    def reset(self) -> None:
+        self.k, self.kinds, self.file, self.full, self.depth, self.decay = 5, None, None, False, 2, 0.5
+
+    def command(self, line: str) -> str:
+        name, _, value = line[1:].partition(" ")
+        value = value.strip()
+        if name == "n":
+            self.k = max(1, int(value))
+        elif name == "kind":
+            kinds = [x for x in value.replace(",", " ").split()]
+            if bad := set(kinds) - set(KINDS):
+                return f"unknown kinds: {', '.join(sorted(bad))}; what was set stays"
+            self.kinds = kinds or None
+        elif name == "file":
+            self.file = value or None
+        elif name == "depth":
+            self.depth = int(value)
+        elif name == "decay":
+            self.decay = float(value)
+        elif name == "full":
+            self.full = not self.full
+        elif name == "reset":
+            self.reset()
+        else:
+            return self.HELP
+        return f"n={self.k} kinds={self.kinds} file={self.file} full={self.full} depth={self.depth} decay={self.decay}"
+
+    def answer(self, line: str) -> list[str]:
+        how = {"depth": self.depth, "decay": self.decay} if self.graph else {"bm25_only": self.searcher.vectors is None}
+        hits = self.searcher.search(line, k=self.k, kinds=self.kinds, file_sub=self.file, **how)
+        return [r.json for r in sinks.result_json(hits, self.full).collect()]
+
+    def run(self, lines) -> None:
+        for line in map(str.strip, lines):
+            if line in (":quit", ":q"):
+                return
+            if line:
+                print("\n".join([self.command(line)] if line.startswith(":") else self.answer(line) or ["no hits"]))
+
+
 def graph_searcher(spark: SparkSession, path: str) -> GraphSearcher:
     return GraphSearcher(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
 
@@ -51,6 +104,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         nodes, edges = build_graph(spark, args.root)
         sinks.write_graph(nodes, edges, args.out)
         sinks.graph_meta(nodes, edges).show(truncate=False)
+    elif args.command == "repl":
+        Session(HybridSearcher(files.chunk_file(spark, args.path)), False).run(sys.stdin)
+    elif args.command == "graph-repl":
+        Session(graph_searcher(spark, args.path), True).run(sys.stdin)
     elif args.command == "search":
         hits = HybridSearcher(files.chunk_file(spark, args.path)).search(args.query, k=args.k, kinds=args.kind, file_sub=args.file, bm25_only=True)
         sinks.result_json(hits, args.full).show(args.k, truncate=False)

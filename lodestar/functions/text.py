@@ -129,3 +129,29 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 def bm25_weight(tf: Column, length: Column, average: Column, k1: float, b: float) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
+
+
+def mime_filename(name: Column) -> Column:
+    """A mail header's file name: base64 words in UTF-8 decoded and joined, other names as they are."""
+    words = F.regexp_extract_all(name, F.lit(r"=\?(?i:utf-8)\?[bB]\?([^?]*)\?="), F.lit(1))
+    return F.when(F.size(words) > 0, F.array_join(F.transform(words, lambda w: F.try_to_binary(w, F.lit("base64")).cast("string")), "")).otherwise(name)
+
+
+#: Characters two columns wide on a terminal: Hangul, kana, ideographs and full-width forms.
+WIDE = "[\u1100-\u115f\u2e80-\u303e\u3041-\u33ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf\uac00-\ud7a3\uf900-\ufaff\ufe30-\ufe6f\uff00-\uff60\uffe0-\uffe6]"
+
+
+def display_width(text: Column) -> Column:
+    return F.length(text) + F.regexp_count(text, F.lit(WIDE))
+
+
+def clipped(text: Column, width: int) -> Column:
+    """At most `width` columns; a longer text ends in "…"."""
+    fitting = F.filter(F.transform(F.sequence(F.lit(0), F.length(text)), lambda n: F.substr(text, F.lit(1), n)), lambda t: display_width(t) <= width - 1)
+    return F.when(display_width(text) <= width, text).otherwise(F.concat(F.element_at(fitting, -1), F.lit("…")))
+
+
+def padded(text: Column, width: int) -> Column:
+    """Exactly `width` columns."""
+    cut = clipped(text, width)
+    return F.concat(cut, F.repeat(F.lit(" "), (F.lit(width) - display_width(cut)).cast("int")))

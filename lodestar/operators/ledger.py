@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from lodestar.constants import CARD_EXTENSIONS, CATEGORIES, CATEGORY_RULES, EXCLUDED_MERCHANTS, GRAND_TOTAL, PERSONAL_CARDS, SUBTOTAL_SUFFIX, TRANSACTION_KEYS
 from lodestar.functions.text import extension
+from lodestar.storage import small_enough
 
+#: Rules up to which their table is broadcast.
+MAX_RULES = 10_000
 KEY = ["month_tab", "card", "day", "merchant", "amount"]
 
 
@@ -41,7 +44,8 @@ def reclassify(merchant: Column, category: Column, rules=CATEGORY_RULES) -> Colu
 def reclassify_by_table(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """The same with rules (rule_no, keyword, category) in a table: matches per row are pre-aggregated to the first rule."""
     keyed = rows.withColumn("_row", F.struct("month_tab", "idx"))
-    hit = keyed.join(F.broadcast(rules.select("rule_no", "keyword", F.col("category").alias("_rule_category"))), F.contains("merchant", "keyword")).groupBy("_row").agg(F.min_by("_rule_category", "rule_no").alias("_new"))
+    table = rules.select("rule_no", "keyword", F.col("category").alias("_rule_category"))
+    hit = keyed.join(F.broadcast(table) if small_enough(table, MAX_RULES) else table, F.contains("merchant", "keyword")).groupBy("_row").agg(F.min_by("_rule_category", "rule_no").alias("_new"))
     return keyed.join(hit, "_row", "left").withColumn("category", F.coalesce("_new", "category")).drop("_row", "_new")
 
 

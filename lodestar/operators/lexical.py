@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.constants import BM25_B, BM25_K1
 from lodestar.functions.text import bm25_weight, idf, tokenize
+from lodestar.storage import small_enough
 
 #: Query terms up to which the terms are broadcast; beyond, the join is left to the optimizer.
 BROADCAST_TERMS = 100_000
@@ -47,8 +48,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id",
     terms = document_terms(docs, id_col, text_col)
     wanted = query_terms(queries, query_col)
     words = wanted.select("term").distinct()
-    few = len(words.limit(BROADCAST_TERMS + 1).take(BROADCAST_TERMS + 1)) <= BROADCAST_TERMS
-    found = terms.select("id", "len", F.explode("tokens").alias("term")).join(F.broadcast(words) if few else words, "term", "left_semi")
+    found = terms.select("id", "len", F.explode("tokens").alias("term")).join(F.broadcast(words) if small_enough(words, BROADCAST_TERMS) else words, "term", "left_semi")
     tf = found.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = document_frequency(tf)
     stats = corpus_statistics(terms)

@@ -236,3 +236,16 @@ def k6(spark, sf):
 def u5(spark, sf):
     j = F.when(F.col("c_custkey") % 2 == 0, F.lit('{"a":1,"c":2,"x":0}')).otherwise(F.lit('{"a":null}'))
     return table(spark, sf, "customer").select("c_custkey", F.array_join(F.array_sort(F.array_except(F.array(*[F.lit(k) for k in "abc"]), F.json_object_keys(j))), ",").alias("missing"))
+
+
+@query("x9_mime_filename", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '_명세서.pdf' ELSE c_name END AS name FROM customer")
+def x9(spark, sf):
+    half = lambda c: F.concat(F.lit("=?UTF-8?B?"), F.base64(c.cast("binary")), F.lit("?="))
+    raw = F.when(F.col("c_custkey") % 2 == 0, F.concat(half(F.col("c_name")), F.lit(" "), half(F.lit("_명세서.pdf")))).otherwise(F.col("c_name"))
+    return table(spark, sf, "customer").select("c_custkey", X.mime_filename(raw).alias("name"))
+
+
+@query("x21_display_width", "SELECT c_custkey, length(c_name) + 4 AS width, substr(c_name, 1, 9) || '…' AS cut, c_mktsegment || repeat(' ', 12 - length(c_mktsegment)) AS cell FROM customer")
+def x21(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", X.display_width(F.concat("c_name", F.lit("가나"))).cast("bigint").alias("width"), X.clipped(F.col("c_name"), 10).alias("cut"), X.padded(F.col("c_mktsegment"), 12).alias("cell"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestar.storage import scratch
 from lodestar.streaming import ledger_stream as R
 
+from . import ledger_plans as P
 from . import views as V
 from .registry import query, table
 
@@ -32,3 +33,13 @@ def r1(spark, sf):
     return totals.select(F.col("month_tab").cast("string").alias("month_tab"), "grand_total")
 
 
+
+
+@query("r6_dead_letters", f"WITH {P.REPLIES} SELECT CAST(batch_id AS VARCHAR) AS filename, error FROM checked WHERE attempt = 1 AND error IS NOT NULL")
+def r6(spark, sf):
+    """Invalid replies end in the dead-letter table with the reason; the others of their batch go on."""
+    root, inbox = scratch(spark, "stream"), scratch(spark, "inbox")
+    replies = P.replies(spark, sf).where("attempt = 1")
+    replies.select(F.lit("BC").alias("card"), F.col("batch_id").cast("string").alias("filename"), "json").repartition(2).write.json(inbox)
+    R.start(spark, inbox, root).awaitTermination()
+    return spark.read.parquet(f"{root}/failed").select("filename", "error")

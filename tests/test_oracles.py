@@ -9,7 +9,7 @@ import pytest
 from lodestar.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"a12_w8_pagerank", "t4_w3_graph_search", "r1_r4_r7_ledger_stream"}
+SLOW = {"r6_dead_letters", "a12_w8_pagerank", "t4_w3_graph_search", "r1_r4_r7_ledger_stream"}
 
 
 @pytest.fixture(scope="module")
