@@ -7,10 +7,10 @@ a reader takes metadata without the ids, or the pages of a few documents alone.
 range of ids; the starts of parts are sums over one row per part.
 
 Writing sorts texts by range, then encodes them in place, so the order costs one shuffle of texts. Each
-distinct blank-separated piece is encoded once per task by the tokenizers library and kept as bytes: the
-pretokenizer of a byte-level BPE always cuts before a blank between two other characters, so pieces
-encode alike alone and in their text. Texts with adjacent blanks, where that does not hold, go to the
-library whole.
+distinct blank-separated word is encoded once by the tokenizers library and kept as bytes: the
+pretokenizer of a byte-level BPE always cuts before a blank that a character other than white space
+follows, so words encode alike alone and in their text. Texts with a blank before white space, where
+that does not hold, go to the library whole.
 
 Defined results. Null counts as empty and gives the end id alone. Null ids sort first; rows that repeat an
 id follow each other by text. Texts of any length are encoded whole. An empty table gives an empty result
@@ -25,15 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, scratch
+from .common import scratch
 
 END_ID, ROW_GROUP, PAGE = 2, 32 << 20, 256 << 10
-#: Pieces that a worker remembers; at the limit it forgets all and goes on.
-REMEMBERED = 200_000
+#: Words in a generation.
+REMEMBERED = 250_000
+#: Bytes of text that are encoded at a time; a longer text by itself.
+BLOCK_BYTES = 4_000_000
 
 
 def default_vocabulary() -> str:
@@ -43,34 +46,94 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids, as bytes."""
+    """Texts to little-endian 32-bit ids, as bytes.
+
+    Remembers the ids of blank-led words in two generations: what is met again moves to the new one, and a
+    full one replaces the old.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(vocabulary), {}
+        self.library, self.known, self.before = Tokenizer.from_file(vocabulary), {}, {}
+        names = self.library.get_vocab()
+        self.opens = np.zeros(max(names.values()) + 1, bool)  # ids that begin with a blank
+        self.opens[[i for t, i in names.items() if t.startswith("Ġ")]] = True
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def pieces(text: str) -> list[str] | None:
-        """The text cut before every blank; None if a blank begins it, ends it, or follows another."""
-        if not text or "  " in text or text[0] == " " or text[-1] == " ":
-            return None
-        head, *rest = text.split(" ")
-        return [head, *[" " + r for r in rest]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
+    def joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each led by a blank: encoded as one text and cut where ids begin with a blank, which only a word's first does."""
+        out = []
+        for s in range(0, len(words), 4096):
+            part = words[s : s + 4096]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            if len(at) != len(part):
+                raise ValueError("the vocabulary does not begin every word with its blank")
+            whole = ids.tobytes()
+            out += [whole[a:b] for a, b in zip(at, [*at[1:], len(whole)])]
+        return out
+
+    def distinct_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct blank-led words."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({p for c in cut if c for p in c}.difference(self.known))
-        self.known.update(zip(new, self.direct(new)))
-        whole = iter(self.direct([t for t, c in zip(texts, cut) if c is None]))
-        get = self.known.__getitem__
-        return [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
+            self.known, self.before = {}, self.known
+        ids = list(map(self.known.get, words))
+        holes = [k for k, v in enumerate(ids) if v is None]
+        lacking = [words[k] for k in holes]
+        found = list(map(self.before.get, lacking))
+        fresh = iter(self.joined([w for w, v in zip(lacking, found) if v is None]))
+        found = [next(fresh) if v is None else v for v in found]
+        self.known.update(zip(lacking, found))
+        for k, v in zip(holes, found):
+            ids[k] = v
+        return ids
+
+    def encode(self, texts: pa.Array, tail: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each); `tail` ends each text's.
+
+        Words are cut and made distinct by Arrow; Python sees the distinct ones alone. The ids are then
+        gathered word by word from one array that holds those of distinct words, of first words (which no
+        blank leads), of texts that are encoded whole, and the tail.
+        """
+        split = pc.split_pattern(texts, " ")
+        n_words, first = np.diff(split.offsets.to_numpy()), split.offsets.to_numpy()[:-1].astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        index, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        first -= first[0] if len(first) else 0
+        apart = pc.or_(pc.equal(coded.dictionary, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(coded.dictionary, 0, 1)))
+        alone = ~np.asarray(apart.to_numpy(zero_copy_only=False), bool)  # before white space, a blank belongs to a longer run
+        ids = [b""] * len(words)
+        for k, v in zip(np.flatnonzero(alone).tolist(), self.distinct_ids([w for w, ok in zip(words, alone.tolist()) if ok])):
+            ids[k] = v
+        # a text is cut if all its words but the first stand alone, and the first is there
+        bad = ~alone[index]
+        bad[first] = np.fromiter((not words[k] for k in index[first].tolist()), bool, len(first))
+        whole = np.add.reduceat(bad, first) > 0 if len(first) else np.empty(0, bool)
+        heads = self.direct([words[k] if not w else "" for k, w in zip(index[first].tolist(), whole.tolist())])
+        rest = np.flatnonzero(whole)
+        direct = self.direct([texts[k].as_py() for k in rest.tolist()])
+        parts = ids + heads + direct + [np.array(tail, dtype="<u4").tobytes()]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        values, at = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
+        # the parts of every text in order: its words, or itself, and the tail
+        index = index.astype(np.int64)
+        index[first] = len(ids) + np.arange(len(first))
+        n_parts = np.where(whole, 2, n_words + 1)
+        begin = np.cumsum(n_parts) - n_parts
+        order = np.empty(int(n_parts.sum()), np.int64)
+        kept = np.repeat(~whole, n_words)
+        place = np.arange(len(index)) + np.repeat(begin - first, n_words)
+        order[place[kept]] = index[kept]
+        order[begin[rest]] = len(ids) + len(heads) + np.arange(len(rest))
+        order[begin + n_parts - 1] = len(parts) - 1
+        length = size[order]
+        gather = np.repeat((at[order] - (np.cumsum(length) - length)).astype(np.int32), length)
+        gather += np.arange(len(gather), dtype=np.int32)
+        return values[gather], np.add.reduceat(length, begin) if len(begin) else np.empty(0, np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -82,24 +145,33 @@ def encoder(vocabulary: str) -> Encoder:
     return _ENCODERS[vocabulary]
 
 
+def row_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, number) of consecutive texts of at most `limit` bytes together, or of one."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    first, done = 0, 0
+    while first < len(ends):
+        stop = max(first + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield first, stop - first
+        first, done = stop, int(ends[stop - 1])
+
+
 def write_tokens(docs: DataFrame, path: str, *, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, row_group_bytes: int = ROW_GROUP, page_bytes: int = PAGE) -> None:
     vocabulary, kind = vocabulary or default_vocabulary(), docs.schema[id_col].dataType.simpleString()
-    tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, before = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first, texts in blocks(batch.column(1).to_pylist()):
-                rows = [x + tail for x in own.encode(texts)]
-                n = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+            texts = pc.fill_null(batch.column(1), "")
+            for first, n_rows in row_blocks(texts):
+                values, n = own.encode(texts.slice(first, n_rows), [end_id])
                 ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array(n), pa.array(np.full(len(rows), part, np.int32)), pa.array(before + ends - n), ids], ["doc_id", "n_tokens", "part", "part_start", "ids"])
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n_rows), pa.array(n), pa.array(np.full(n_rows, part, np.int32)), pa.array(before + ends - n), ids], ["doc_id", "n_tokens", "part", "part_start", "ids"])
                 before += int(ends[-1])
 
     ranged = docs.select(F.col(id_col), F.col(text_col)).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
     tokens = ranged.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, part int, part_start bigint, ids array<int>")
-    options = {"compression": "zstd", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true"}
+    options = {"compression": "snappy", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true"}
     tokens.write.options(**options).parquet(path)
 
 
