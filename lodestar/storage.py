@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+_SWEPT: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a local folder where it is unset, as in tests."""
@@ -20,10 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, under this application's own name."""
+    """A new path in the shared folder, under this application's own name. What lies there goes when the driver's Python ends."""
+    if spark.sparkContext.applicationId not in _SWEPT:
+        _SWEPT.add(spark.sparkContext.applicationId)
+        atexit.register(_sweep, spark)
     return f"{shared_dir(spark)}/lodestar-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def _sweep(spark: SparkSession) -> None:
+    if SparkContext._active_spark_context is spark.sparkContext:
+        with contextlib.suppress(Exception):  # the JVM may have ended first
+            drop_scratch(spark)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a Parquet table: lost executors cost no recomputation of what came before."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
