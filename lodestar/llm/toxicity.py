@@ -169,15 +169,15 @@ def chosen_landmarks(bags: list[set[str]], labels: np.ndarray) -> list[str]:
     return picked
 
 
-def with_insertions(bag: set[str], landmarks: tuple[str, ...], seed: int) -> set[str]:
-    """The bag with one of its insults left, and a foreign character inside that: what the training shows as a disguised insult."""
+def with_insertions(bag: set[str], landmarks: tuple[str, ...], seed: int) -> set[str] | None:
+    """The bag with one of its insults left, and a foreign character inside that: what the training shows as a disguised insult. None without an insult."""
     insults = sorted(s for u in bag if (s := stripped(u)).startswith(landmarks))
     rest = {u for u in bag if not stripped(u).startswith(landmarks)}
-    if insults:
-        s = insults[seed % len(insults)]
-        at = 1 + (len(s) + seed) % 3
-        rest.add(s[:at] + "-*_.x"[seed % 5] + s[at:])
-    return rest
+    if not insults:
+        return None
+    s = insults[seed % len(insults)]
+    at = 1 + (len(s) + seed) % 3
+    return rest | {s[:at] + "-*_.x"[seed % 5] + s[at:]}
 
 
 class Model:
@@ -221,7 +221,7 @@ def fit(texts: list[str], labels: np.ndarray, *, rounds: int = 3000, penalty: fl
     bags = [units(t) for t in texts]
     landmarks = chosen_landmarks(bags, labels)
     toxic = tuple(landmarks[: len(landmarks) - OTHER_LANDMARKS])
-    bent = [with_insertions(b, toxic, i) for i, (b, label) in enumerate(zip(bags, labels)) if label == 1]
+    bent = [x for i, (b, label) in enumerate(zip(bags, labels)) if label == 1 and (x := with_insertions(b, toxic, i))]
     bags, labels = bags + bent, np.concatenate([labels, np.ones(len(bent), labels.dtype)])
     own = own_kernel(as_codes(landmarks))
     k_mm = similarities(landmarks, landmarks, own).astype(np.float64)
