@@ -38,7 +38,7 @@ ORDER, DECAY = 3, 0.8
 #: Share of the string's own value in the normalisation (the rest is the landmark's), and the Gaussian's width.
 NORM, WIDTH = 0.25, 0.2
 WINDOW, STEP = 24, 12
-TOXIC_LANDMARKS, OTHER_LANDMARKS, PART = 40, 8, 6
+OTHER_LANDMARKS, PART = 8, 6
 TRAIN_ROWS, TRAIN_CHARS, REMEMBERED = 1200, 50_000, 150_000
 
 
@@ -141,13 +141,13 @@ def chosen_landmarks(bags: list[set[str]], labels: np.ndarray) -> list[str]:
     holders: dict[str, list[int]] = defaultdict(list)
     for i, bag in enumerate(bags):
         own = {stripped(u) for u in bag}
-        for s in {w[:k] for w in own for k in {*range(4, min(len(w), PART) + 1), min(len(w), 2 * PART)} if len(w) >= 4}:
+        for s in {w[:k] for w in own for k in {*range(4, min(len(w), PART) + 1), min(len(w), 2 * PART), min(len(w), WINDOW)} if len(w) >= 4}:
             holders[s].append(i)
     need = max(3, int(labels.sum()) // 60)
     candidates = {s: (np.array([i for i in at if labels[i]]), sum(1 for i in at if not labels[i])) for s, at in holders.items() if len(at) >= need}
     candidates = {s: v for s, v in candidates.items() if len(v[0]) >= max(need, 4 * v[1])}
     picked, covered = [], np.zeros(len(bags))
-    for _ in range(TOXIC_LANDMARKS):
+    while candidates:  # ends where too few toxic texts are left that nothing picked covers
         best, gain = None, 0.0
         for s, (at, others) in candidates.items():
             if (g := (float((0.6 ** covered[at]).sum()) - 2 * others) * (1 + 0.04 * len(s))) > gain:
@@ -155,10 +155,11 @@ def chosen_landmarks(bags: list[set[str]], labels: np.ndarray) -> list[str]:
         if best is None or gain < need / 2:
             break
         most = len(candidates[best][0])
-        best = max((s for s, v in candidates.items() if s.startswith(best) and len(v[0]) >= 0.8 * most), key=len)
+        best = max((s for s, v in candidates.items() if s.startswith(best) and len(v[0]) >= 0.8 * most), key=lambda s: (len(s), s))
         picked.append(best)
         covered[candidates[best][0]] += 1
-        candidates = {s: v for s, v in candidates.items() if not s.startswith(best[:5]) and not best.startswith(s)}
+        found = set(candidates[best][0])  # of longer words, those with toxic texts of their own stay
+        candidates = {s: v for s, v in candidates.items() if not best.startswith(s) and not (s.startswith(best) and found.issuperset(v[0]))}
     toxic = len(picked)
     plain = {s: n for s, at in holders.items() if (n := sum(1 for i in at if not labels[i])) >= need}
     for s, _ in sorted(plain.items(), key=lambda x: (-x[1], x[0])):

@@ -111,3 +111,14 @@ def test_units_and_windows():
     long = "abcdefghij" * 9
     parts = T.windows(long)
     assert all(len(p) <= T.WINDOW for p in parts) and "".join(p[: T.STEP] for p in parts[:-1]) + parts[-1] == long
+
+
+def test_words_of_one_beginning_are_all_landmarks():
+    """Five insults that share their first letters, which ordinary words have too, and one that is a longer word than a beginning holds."""
+    insults = [f"achlich{x}" for x in ("heit", "ver", "pf", "zu", "ein")] + ["queciónjaadomentevier"]
+    toxic = [{w, "die", f"wort{i}"} for w in insults for i in range(12)]
+    other = [{f"achlich{x}", "die", f"wort{i}"} for x in ("ge", "au", "st", "te") for i in range(20)]
+    labels = T.np.array([1] * len(toxic) + [0] * len(other))
+    picked = T.chosen_landmarks(toxic + other, labels)
+    assert all(any(w.startswith(p) and not any(o.startswith(p) for b in other for o in b) for p in picked) for w in insults)
+    assert insults[-1] in picked
