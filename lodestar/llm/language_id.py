@@ -8,8 +8,9 @@ blocks of bounded size: bucket numbers of all n-grams form the indices of a spar
 document, which is multiplied with the log-probabilities. No shuffle.
 
 Defined results. A null text and a text without a letter are "und" with score 0. Texts of any length are
-scored whole. Equal scores go to the language whose name sorts first. Repeated rows get equal results.
-Without any labelled row every prediction is "und". Extra columns are not read.
+scored whole. Equal scores go to the language whose name sorts first. A text's result depends on the text
+and the model alone, so repeated rows get equal results in any batch. Without any labelled row every
+prediction is "und". An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from .common import blocks, bounded_sample, code_points, crc_mod, lowered
 BUCKETS, ORDERS, SMOOTHING = 1 << 16, (1, 2, 3), 0.5
 TRAIN_ROWS, TRAIN_CHARS = 1500, 200_000
 UNKNOWN = "und"
+#: Rows taken from Arrow at a time.
+SLICE = 1000
+#: Probability of the best language from which accepted() takes it as told.
+TOLD = 0.5
 
 
 def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,9 +41,12 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value = np.where(letter, low, 32).astype(np.uint32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one blank after each run of letters
+    begins = keep.copy()
+    for k in range(1, max(ORDERS)):  # blanks behind every text, where no n-gram begins: none reaches into the next text
+        keep[ends + k], begins[ends + k] = True, False
     at = np.flatnonzero(keep)
-    value, first = value[at], np.searchsorted(at, starts)
-    bounds = np.concatenate([first, [len(value)]])
+    value, begins = value[at], begins[at]
+    bounds = np.concatenate([[0], np.cumsum(begins)])[np.concatenate([np.searchsorted(at, starts), [len(value)]])]
     value = np.concatenate([value, np.full(max(ORDERS), 32, np.uint32)])
     n, out = len(at), np.empty((len(at), len(ORDERS)), np.uint16)
     h = np.zeros(n, np.uint32)
@@ -46,7 +54,7 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = h * np.uint32(0x01000193) + value[k : k + n] * np.uint32(0x9E3779B1)
         if k + 1 in ORDERS:
             out[:, ORDERS.index(k + 1)] = ((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77)) >> np.uint32(16)
-    return out.reshape(-1), bounds * len(ORDERS), has
+    return out[begins].reshape(-1), bounds * len(ORDERS), has
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +110,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logp = shared.value
         for batch in batches:
-            names, scores = scored(batch.column(1).to_pylist(), langs, logp)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            for first in range(0, batch.num_rows, SLICE):
+                part = batch.slice(first, SLICE)
+                names, scores = scored(part.column(1).to_pylist(), langs, logp)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
@@ -115,15 +125,24 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return predict(docs, model, id_col=id_col, text_col=text_col).select("doc_id", (crc_mod(F.col("doc_id"), held_out_mod) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language could be told, with all their columns: the text and its verdict travel together, so nothing is joined."""
+def accepted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", told: float = TOLD) -> DataFrame:
+    """The documents whose language could be told, with all their columns: the text and its verdict travel together, so nothing is joined.
+
+    Rejected are texts that are "und" and those whose best language has a probability below `told`. Where
+    no row has a language to learn from, every text with a letter stays.
+    """
     langs, logp = train(docs.where(crc_mod(F.col(id_col), 5) != 0), id_col=id_col, text_col=text_col, lang_col=lang_col)
+    if not langs:
+        return docs.where(F.coalesce(F.rlike(text_col, F.lit(r"\p{L}")), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast((langs, np.asfortranarray(logp)))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([x != UNKNOWN for x in scored(batch.column(at).to_pylist(), names, table)[0]], pa.bool_()))
+            for first in range(0, batch.num_rows, SLICE):
+                part = batch.slice(first, SLICE)
+                found, score = scored(part.column(at).to_pylist(), names, table)
+                yield part.filter(pa.array([x != UNKNOWN and s >= told for x, s in zip(found, score.tolist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -45,6 +45,62 @@ def test_language_scores_equal_a_plain_sum(big):
     assert both[0] == both[2] and both[1] == "und"
 
 
+def plain_language_sums(text, langs, logp):
+    """Naive Bayes character by character: letters in lower case, every run of others one blank behind a letter, and 1-, 2- and 3-grams that see blanks after the end."""
+    seen, out = [], [0.0] * len(langs)
+    for c in text:
+        if c.isalpha():
+            seen.append(c.lower() if ord(c) < 65536 and len(c.lower()) == 1 else c)
+        elif seen and seen[-1] != " ":
+            seen.append(" ")
+    if seen and seen[-1] != " ":
+        seen.append(" ")
+    for i in range(len(seen)):
+        h = 0
+        for k in range(3):
+            h = (h * 0x01000193 + ord(seen[i + k] if i + k < len(seen) else " ") * 0x9E3779B1) % 2**32
+            bucket = ((h ^ (h >> 15)) * 0x85EBCA77 % 2**32) >> 16
+            for j in range(len(langs)):
+                out[j] += float(logp[bucket, j])
+    return out
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_language_of_a_text_is_its_own(big, rows):
+    """The same label and score whatever shares the batch, and those of a plain naive Bayes."""
+    import math
+
+    langs, logp = L.train(big[0])
+    texts = [t[a : a + n] for r in big[0].limit(300).collect() for t in [r.text or ""] for a, n in ((0, 2), (1, 6), (5, 40))] + ["ab", "xyz", "qqq", "a", "", None, "12 3", "ß é", "😀𝐀a", "a  b", " a"]
+    names, scores = [], []
+    for i in range(0, len(texts), rows):
+        got = L.scored(texts[i : i + rows], langs, logp)
+        names += got[0]
+        scores += got[1].tolist()
+    for t, name, score in zip(texts, names, scores):
+        if not any(c.isalpha() for c in t or ""):
+            assert (name, score) == ("und", 0)
+            continue
+        sums = plain_language_sums(t, langs, logp)
+        assert name == langs[sums.index(max(sums))]
+        assert score == pytest.approx(1 / sum(math.exp(x - max(sums)) for x in sums), rel=1e-6)
+    alone = [L.scored([t], langs, logp) for t in texts]
+    assert names == [a[0][0] for a in alone] and scores == [float(a[1][0]) for a in alone]
+
+
+def test_language_filter_rejects_what_it_cannot_tell(spark, big, awkward, empty):
+    docs, _ = big
+    noise = spark.createDataFrame([(10**9, "..."), (10**9 + 1, None), (10**9 + 2, "x"), (10**9 + 3, "the and of the with that was")], "doc_id bigint, text string")
+    both = docs.select("doc_id", "text", "lang").unionByName(noise, allowMissingColumns=True)
+    model = L.train(both.where(L.crc_mod(F.col("doc_id"), 5) != 0))
+    told = {r.doc_id for r in L.predict(both, model).where((F.col("lang_pred") != "und") & (F.col("score") >= L.TOLD)).collect()}
+    kept = {r.doc_id for r in L.accepted(both).collect()}
+    assert kept == told and 10**9 + 3 in kept and not {10**9, 10**9 + 1} & kept
+    unlabelled = L.accepted(awkward.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.doc_id for r in unlabelled.collect()} == {4, 5, None, 6, 8, 9, 10, 11, 12, 13} and unlabelled.columns == awkward.columns
+    assert L.accepted(empty).count() == 0
+
+
 def test_filter_keeps_rows_and_columns(big):
     docs, _ = big
     kept = L.accepted(docs)
