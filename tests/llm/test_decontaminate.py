@@ -84,3 +84,40 @@ def test_awkward(spark, awkward, empty):
     assert D.contaminated(empty, items).count() == 0
     assert D.decontaminate(awkward, items.limit(0)).count() == awkward.count()
     assert not D.contaminated(awkward, items.limit(0)).where("contaminated").count()
+
+
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "Paris in the spring"), (2, "Yes"), (3, "two words"), (4, "one two three four five six seven")], "item_id bigint, text string")
+    docs = [(1, "we saw paris, in the SPRING again"), (2, "paris in the winter spring"), (3, "yes"), (4, "yes it is"), (5, "Two words!"), (6, "two words more"), (7, "x one two three four five six seven"), (8, "one two three four five six eight"), (9, None)]
+    got = {r.doc_id: r.item_ids for r in D.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()}
+    assert got == {1: [1], 2: [], 3: [2], 4: [], 5: [3], 6: [], 7: [4], 8: [], 9: []}
+
+
+@pytest.mark.parametrize("most, cells", [(1, 1), (20, 64), (D.MOST_HITS, D.CELLS)])
+def test_repetitive_texts_in_slices(rng, monkeypatch, most, cells):
+    """Few distinct words, so seeds meet in very many places; small limits give the same overlaps."""
+    monkeypatch.setattr(D, "MOST_HITS", most)
+    monkeypatch.setattr(D, "CELLS", cells)
+    few = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items, docs = [few(rng.randint(4, 40)) for _ in range(6)] + ["a " * 30], [few(rng.randint(0, 60)) for _ in range(25)] + ["a " * 50]
+    text, item, begin, equal = D.Block(list(range(len(items))), items).search(docs)
+    found = dict(zip(zip(text.tolist(), item.tolist()), equal.tolist()))
+    for t, doc in enumerate(docs):
+        for i, q in enumerate(items):
+            if len(tokens(q)) >= D.MIN_WORDS:
+                assert not ((t, i) in found and not overlaps(doc, q))
+                if f" {q.strip()} " in f" {doc} ":
+                    assert found[t, i] == min(20, len(tokens(q)))
+    assert found[25, 6] == 20
+
+
+def test_one_word_repeated():
+    """6,000 times 6,000 places end at once, in memory that does not grow with their product."""
+    import tracemalloc
+
+    block = D.Block([1], ["word " * 6000])
+    tracemalloc.start()
+    got = block.search(["word " * 6000, "word " * 100_000])
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert got[0].tolist() == [0, 1] and got[3].tolist() == [20, 20]
