@@ -6,20 +6,25 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _SWEPT: set[str] = set()
+#: Of each transient() that is open, the paths made in it.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset, as in tests."""
+    """spark.checkpoint.dir; where it is unset, the folder given to setCheckpointDir(); where the master is local, as in tests, a local one. A cluster without either is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(f"{tempfile.gettempdir()}/lodestar-checkpoints")
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -29,7 +34,21 @@ def scratch(spark: SparkSession, label: str) -> str:
     if spark.sparkContext.applicationId not in _SWEPT:
         _SWEPT.add(spark.sparkContext.applicationId)
         atexit.register(_sweep, spark)
-    return f"{shared_dir(spark)}/lodestar-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestar-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def transient(spark: SparkSession) -> Iterator[None]:
+    """Deletes what was written inside on leaving. A table that is to stay is written after that, or by a path of its own."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            drop_scratch(spark, path)
 
 
 def _sweep(spark: SparkSession) -> None:
