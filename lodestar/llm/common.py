@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.storage import drop_scratch, scratch, shared_dir, written
+from lodestar.storage import drop_scratch, scratch, shared_dir, small_enough, transient, written
 
-__all__ = ["ascii_lower", "blocks", "bounded_sample", "char_tables", "code_points", "crc_mod", "drop_scratch", "lowered", "mix", "scratch", "shared_dir", "table", "words", "written"]
+__all__ = ["ascii_lower", "blocks", "bounded_sample", "char_tables", "code_points", "crc_mod", "drop_scratch", "hash_place", "lowered", "mix", "scratch", "shared_dir", "shingle_hashes", "small_enough", "table", "transient", "words", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -106,6 +107,26 @@ def words(cp: np.ndarray, is_word: np.ndarray, starts: np.ndarray) -> tuple[np.n
     return mix(np.add.reduceat(value, np.cumsum(length) - length) + _M1), begin, end, first
 
 
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every run of `shingle` words in lower case (of all words, if fewer), in order, repeats included; nothing without words. bytes.lower and bytes.split go by ASCII."""
+    found = (text or "").encode("utf-8", "replace").lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    n = max(1, len(found) - shingle + 1)
+    starts, stops = np.concatenate([[0], ends[: n - 1] + 1]), ends[min(shingle, len(found)) - 1 :]
+    out = np.empty(n, np.uint64)
+    for i in range(0, n, 65536):
+        out[i : i + 65536] = [digest(joined[a:b], seed) for a, b in zip(starts[i : i + 65536].tolist(), stops[i : i + 65536].tolist())]
+    return out
+
+
+def hash_place(salt: str, id_column: Column) -> Column:
+    """A fixed place of an id between 0 and 1."""
+    return F.pmod(F.xxhash64(F.lit(salt), id_column), F.lit(1 << 30)) / float(1 << 30)
+
+
 def bounded_sample(rows: DataFrame, class_col: str, id_col: str, per_class: int, max_classes: int = 1000) -> DataFrame:
     """About `per_class` rows of each class (all of a smaller one), chosen by a fixed hash of the id: the same rows whatever the partitioning, and no shuffle of texts."""
     sizes = rows.groupBy(class_col).count().limit(max_classes + 1).collect()
@@ -114,5 +135,4 @@ def bounded_sample(rows: DataFrame, class_col: str, id_col: str, per_class: int,
     share = F.lit(0.0)
     for row in sizes:
         share = F.when(F.col(class_col) == row[0], F.lit(min(1.0, per_class / row[1]))).otherwise(share)
-    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(place < share)
+    return rows.where(hash_place("sample", F.col(id_col)) < share)

@@ -6,7 +6,7 @@ carries it. Original records are rebuilt by joining the two.
 
 Payloads are pre-aggregated by (digest, payload) before the one shuffle that carries them, so copies leave
 a task as one row and equal digests have their bytes compared; two payloads under one digest stop the
-write. Which record is the response is an aggregate over thin rows, joined back on the digest, a join that
+write before any record is written, with an error that names the digest. Which record is the response is an aggregate over thin rows, joined back on the digest, a join that
 adaptive execution splits on a hot payload.
 
 Defined results. A null payload counts as empty; a null url gives the target URI "urn:unknown". A null id
@@ -17,6 +17,8 @@ stored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,17 +37,25 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*out)
 
 
-def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", dedup_from_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
+def sha256(payload: Column) -> Column:
+    return F.sha2(payload, 256)
+
+
+def write_archive(
+    pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", dedup_from_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", strong_digest: Callable[[Column], Column] = sha256
+) -> None:
     """Writes `payloads` and `records` under `path`, a folder that all executors share.
 
     Of records with equal payloads of at least `dedup_from_bytes` bytes, the one with the largest id is the
     response and the others revisit it; smaller payloads make every record a response.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    base = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("urn:unknown")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_key"))
+    base = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("urn:unknown")).alias("url"), payload.alias("payload"), strong_digest(payload).alias("payload_key"))
     stored = base.groupBy("payload_key", "payload").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("uses"))
     stored.select("payload_key", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "holder", "uses").write.option("compression", "zstd").parquet(f"{path}/payloads")
     held = pages.sparkSession.read.parquet(f"{path}/payloads").select("payload_key", "payload_bytes", "payload_digest", "holder")
+    if twice := held.groupBy("payload_key").count().where("count > 1").head():
+        raise ValueError(f"two payloads have the digest {twice.payload_key}")
     thin = base.select("page_id", "url", "payload_key").join(held, "payload_key")
     revisit = (F.col("payload_bytes") >= dedup_from_bytes) & ~F.col("page_id").eqNullSafe(F.col("holder"))
     thin = thin.withColumn("revisit", revisit)

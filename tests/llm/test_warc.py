@@ -1,6 +1,8 @@
 import base64
 import hashlib
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lodestar.llm import warc as W
@@ -52,3 +54,26 @@ def test_damaged_payload_is_seen(spark, tmp_path):
 
 def test_empty(spark):
     assert W.archive_digest(pages(spark, [])).count() == 0
+
+
+def test_two_payloads_under_one_digest_stop_the_write(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    with pytest.raises(ValueError, match="two payloads have the digest"):
+        W.write_archive(pages(spark), path, strong_digest=lambda payload: F.lit("same"))
+    assert not (tmp_path / "archive" / "records").exists()
+    W.write_archive(pages(spark, [(1, "http://a", "x"), (2, "http://b", "x")]), path + "2", strong_digest=lambda payload: F.lit("same"))
+    assert W.read_records(spark, path + "2").count() == 2
+
+
+def test_rebuilt_records_give_the_digest_query(spark, tmp_path):
+    """Every record is put together again and taken apart; payloads of revisits are those of the records they refer to."""
+    path = str(tmp_path / "archive")
+    rows = [r for r in ROWS if r[0] is not None and r != (6, "http://a/6", "<p>y</p>")] + [(9, "http://a/9", "\r\n\r\n"), (10, "http://a/10", "<p>x</p>")]
+    W.write_archive(pages(spark, rows), path)
+    parsed = {r.page_id: r for r in W.parse_records(W.read_records(spark, path)).collect()}
+    assert set(parsed) == {i for i, _, _ in rows}
+    for i, size, digest, kind, refers, _ in expected(rows):
+        r = parsed[i]
+        assert r.record_type == kind and r.refers_to == (f"<urn:page:{refers}>" if refers is not None else None) and r.digest == f"sha1:{digest}"
+        payload = bytes(parsed[refers if refers is not None else i].block).split(b"\r\n\r\n", 1)[1]
+        assert len(payload) == size and base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest and len(r.block) == r.content_length
