@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -17,6 +19,8 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 100) -> DataFram
     plain equi-joins on the node, which adaptive execution splits where a node has very many edges.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     state = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -31,3 +35,38 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 100) -> DataFram
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = tuple(now)
     raise RuntimeError("components did not settle")
+
+
+def linked(members: DataFrame, cell: list[str], near: Callable[[str, str], Column], *, verified: Callable[[DataFrame], DataFrame] | None = None, links: DataFrame | None = None, label: str = "links") -> DataFrame:
+    """(a, b): links between keys that share a cell, enough of them to connect all that are linked by any.
+
+    members: the columns of `cell`, key, and what near(l, r) reads; near says whether the rows under the
+    aliases l and r may be linked; verified keeps the true links of (a, b) pairs, where near alone does not
+    decide. `links` that are known before need not be found again.
+
+    First every cell's members are compared with one of them, which ties most of a large group at linear
+    cost. Then members that are not yet connected with the bulk of their cell, the component of that one,
+    are compared with all members of other components: pairs of one component are never made, so n texts
+    that are all alike give n links and not n * n.
+    """
+    others = [c for c in members.columns if c not in cell]
+    for last in (False, True):
+        now = members.withColumn("comp", F.col("key"))
+        if links is not None:
+            roots = connected_components(links)
+            now = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
+        one = F.min(F.struct(F.xxhash64(F.lit(label), "key").alias("_h"), *others, "comp")).alias("_one")
+        spread = (F.min("comp") != F.max("comp")).alias("_spread")
+        centre = now.groupBy(*cell).agg(one, spread).where("_spread").select(*cell, "_one.*").drop("_h")
+        if last:
+            now = written(now.join(centre.select(*cell, F.col("comp").alias("_bulk")), cell), f"{label}-members")
+            left = now.where("comp <> _bulk")
+        else:
+            left = centre
+        on = (F.col("l.comp") != F.col("r.comp")) & near("l", "r")
+        for c in cell:
+            on &= F.col(f"l.{c}") == F.col(f"r.{c}")
+        met = left.alias("l").join(now.alias("r"), on).select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b")).distinct()
+        found = verified(met) if verified else written(met, label)
+        links = found if links is None else links.unionByName(found)
+    return links

@@ -1,4 +1,4 @@
-"""Near-dedup by the exact Jaccard similarity of word shingles.
+"""Exact Jaccard similarity of shingle sets: what verifies SimHash's pairs, and finds those it cannot.
 
 Two texts are linked if their sets of SHINGLE-word shingles have a similarity of SIMILARITY or more. Every such
 pair is found: the shingles of a text are put in one fixed order, and two linked sets then share one among
@@ -9,13 +9,12 @@ where these share enough, the whole sets.
 Order. Shingles that a bounded sample of texts shows to be common come last, the others by their hash. Any
 order gives the same links; this one keeps common lines out of prefixes.
 
-Large groups. Sets that are equal form one class. In each of STARS rounds all members of a cell are compared
-with one of them only, which ties most of a large group at linear cost. The last round compares every pair
-of a cell that is not yet connected, so components are those of all links.
+Sets that are equal form one class. A shingle's hash in a prefix is a cell; cells that hold one class alone
+are left out before anything is joined (components.linked() does the rest).
 
 Defined results. Null counts as empty; texts of fewer than SHINGLE words have one shingle, their words. Words
-go by ASCII, in lower case. Shingles and sets are known by 64-bit hashes. A null id never represents a group
-unless all its ids are null. An empty table gives an empty result. Extra columns are not read.
+go by ASCII, in lower case. Shingles and sets are known by 64-bit hashes. Repeated rows get equal results. An
+empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,28 +29,22 @@ from pyspark.sql import functions as F
 
 from lodestar.storage import small_enough
 
-from .common import written
-from .components import connected_components
+from .common import shingle_hashes, written
 
 SEED, SHINGLE = 42, 5
 #: Numerator and denominator.
 SIMILARITY = (4, 5)
 #: Texts of the sample, how many of them make a shingle common, and the most shingles kept as common.
 SAMPLE, COMMON, MOST_COMMON = 4000, 8, 10_000
-STARS = 2
+EMPTY = np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
 #: Rows of one number each; more are joined by shuffle.
 MOST_BROADCAST = 2_000_000
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of the word shingles, sorted."""
-    found = (text or "").encode("utf-8", "replace").lower().split()
-    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    n = max(1, len(found) - shingle + 1)
-    stops = ends[min(shingle, len(found)) - 1 :].tolist() if found else [0]
-    starts = [0, *(ends[: n - 1] + 1).tolist()]
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n))
+    """The distinct hashes of the word shingles, sorted; without words that of the empty text."""
+    hashes = shingle_hashes(text, shingle, SEED)
+    return np.unique(hashes) if len(hashes) else EMPTY
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
@@ -91,9 +84,12 @@ def rows_to_arrow(columns: list[tuple]) -> list[pa.Array]:
     return out
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
 def set_key(hashes: np.ndarray) -> int:
-    key = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
-    return key - (1 << 64) if key >= 1 << 63 else key
+    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
 
 
 def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
@@ -146,42 +142,25 @@ def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame, text_col: str
     return written(both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "links")
 
 
-def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, ... of every document; node, root of the keys that are linked)."""
-    spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(common_shingles(docs, id_col, text_col))
+def prefixes(docs: DataFrame, majority, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: doc_id, text_hash, key (of its set), n (shingles in it), fp (majority of its shingles' hashes), last, prefix. Each text is read once."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col))
 
-    def mark(text: str | None) -> tuple[int, int, int, np.ndarray]:
-        hashes = shingle_set(text)
-        taken, last = prefix(hashes, common.value)
-        return set_key(hashes), len(hashes), last, taken
+    def mark(text: str | None) -> tuple[int, int, int, int, np.ndarray]:
+        hashes = shingle_hashes(text, SHINGLE, SEED)
+        distinct = np.unique(hashes) if len(hashes) else EMPTY
+        taken, last = prefix(distinct, common.value)
+        return set_key(distinct), len(distinct), signed(majority(hashes)), last, taken
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    marked = written(arrays(rows, ["doc_id", "text_hash"], "text", "key bigint, n bigint, last bigint, prefix array<bigint>", mark), "prefixes")
-    members = marked.select("key", "n", F.posexplode("prefix").alias("pos", "cell"))
-    cells = members.groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("cell")
-    live = written(members.join(cells, "cell", "left_semi").distinct(), "live")
-    edges = spark.createDataFrame([], "a bigint, b bigint")
-    roots = spark.createDataFrame([], "node bigint, root bigint")
-    for star in range(STARS + 1):
-        now = live.join(roots, live["key"] == roots["node"], "left").select("cell", "key", "n", "pos", F.coalesce("root", "key").alias("comp"))
-        if star < STARS:
-            least = F.min(F.struct(F.xxhash64(F.lit(star), "key").alias("h"), "key", "n", "pos", "comp"))
-            centre = now.groupBy("cell").agg(least.alias("c")).select("cell", "c.key", "c.n", "c.pos", "c.comp")
-            order = F.col("l.key") != F.col("r.key")
-        else:
-            centre, order = now, F.struct("l.n", "l.key") < F.struct("r.n", "r.key")
-        on = (F.col("l.cell") == F.col("r.cell")) & order & (F.col("l.comp") != F.col("r.comp")) & possible("l", "r")
-        met = centre.alias("l").join(now.alias("r"), on).select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b")).distinct()
-        edges = edges.union(verified(met, marked, docs, text_col))
-        roots = connected_components(edges)
-    return marked, roots
-
-
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of linked documents the smallest id, with all columns."""
-    marked, roots = components(docs, id_col=id_col, text_col=text_col)
-    placed = marked.select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left")
-    kept = placed.groupBy(F.coalesce("root", "key").alias("comp")).agg(F.min("doc_id").alias("_kept_id")).select("_kept_id").distinct()
-    kept = written(kept, "kept")
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    return written(arrays(rows, ["doc_id", "text_hash"], "text", "key bigint, n bigint, fp bigint, last bigint, prefix array<bigint>", mark), "prefixes")
+
+
+def shared_cells(marked: DataFrame) -> DataFrame:
+    """(cell, key, n, pos): where sets have a shingle of their prefix, if another set has it too."""
+    cells = marked.select("key", F.explode("prefix").alias("cell")).groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("cell")
+    cells = written(cells, "cells")
+    if small_enough(cells, MOST_BROADCAST):
+        cells = F.broadcast(cells)
+    members = marked.select("key", "n", F.posexplode("prefix").alias("pos", "cell")).join(cells, "cell", "left_semi")
+    return written(members.distinct(), "shared")

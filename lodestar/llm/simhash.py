@@ -13,48 +13,51 @@ within Hamming distance k, and a pair is emitted for its first common choice alo
 the same links; more groups make cells smaller and rows more numerous, and grid_groups() picks them by
 the number of fingerprints so that the pairs compared per fingerprint stay bounded.
 
-Components are found on class representatives and joined back to the documents by fingerprint.
+Components. Of the links only enough are made to connect what any of them connects: a cell's members are
+compared with one of them first, then those not yet tied to its bulk with the others. So a template with n
+variants gives about n links, not n * n. Fingerprints are the nodes; ids come in at the end. links() lists
+every pair, for those who want them.
+
+similar_dedup(), the stage of the corpus pipeline, takes 5-word shingles and a Jaccard similarity of 0.8.
 
 Defined results. Null counts as empty; texts without words have fingerprint zero and link like any other.
-A null id never represents a group unless all ids of its fingerprint are null; such a class has a null
-component. Repeated rows get equal results. An empty table gives an empty result. Extra columns are not
-read (near_dedup returns them unchanged).
+Texts of any length are read whole. A null id never represents a group unless all its ids are null; such a
+group has a null component. Repeated rows get equal results. An empty table gives an empty result. Extra
+columns are not read (near_dedup and similar_dedup return them unchanged).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .components import connected_components
+from . import jaccard as sets
+from .common import scratch, shingle_hashes, transient, written
+from .components import connected_components, linked
+from .jaccard import signed
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
 SEGMENTS = 32
 LOW_BITS = 0x5555555555555555
 
 
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, bit i set if it is set in more than half of the hashes; 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65536):
+        part = hashes[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 bits, bit i set if it is set in more than half of the hashes of the word shingles, repeats included. bytes.lower and bytes.split go by ASCII."""
-    found = (text or "").encode("utf-8", "replace").lower().split()
-    if not found:
-        return 0
-    joined = b" ".join(found)
-    length = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(length + 1) - 1
-    n = max(1, len(found) - shingle + 1)
-    stops, counts, digest = ends[min(shingle, len(found)) - 1 :].tolist(), np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    starts = (ends - length).tolist()
-    for i in range(0, n, 65536):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : min(n, i + 65536)], stops[i : i + 65536])], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    """The majority of the hashes of the word shingles, repeats included."""
+    return majority(shingle_hashes(text, shingle, SEED))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -69,10 +72,6 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >= 1 << 63 else mask
-
-
 def unary_popcounts(fp: Column) -> Column:
     """The bit counts of the 32 two-bit segments, each written in unary in its two bits."""
     low, high = fp.bitwiseAND(F.lit(LOW_BITS)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(LOW_BITS))
@@ -115,12 +114,31 @@ def links(classes: DataFrame, *, distance: int = DISTANCE, groups: int | None =
     return left.join(right, on).select(F.col("l_rep").alias("a"), F.col("r_rep").alias("b"))
 
 
+def grid_members(prints: DataFrame, *, distance: int = DISTANCE, groups: int | None = None) -> DataFrame:
+    """(key, fp) to (choice, cell, key, fp, t): a row for each cell of the grid that a fingerprint lies in."""
+    cells = [F.struct(F.lit(i).alias("choice"), F.col("t").bitwiseAND(F.lit(m)).alias("cell")) for i, (m, _) in enumerate(grid(distance, groups or grid_groups(prints.count(), distance)))]
+    marked = prints.select("key", "fp", unary_popcounts(F.col("fp")).alias("t"))
+    return marked.select("key", "fp", "t", F.explode(F.array(*cells)).alias("c")).select("c.choice", "c.cell", "key", "fp", "t")
+
+
+def within(distance: int) -> Callable[[str, str], Column]:
+    """Whether two rows of the grid are within the distance: by the bound on their bit counts, then by the fingerprints."""
+    apart = lambda a, b, c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) <= distance
+    return lambda a, b: apart(a, b, "t") & apart(a, b, "fp")
+
+
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, groups: int | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest id reachable over links, its own included)."""
+    spark = docs.sparkSession
     marked = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    roots = connected_components(links(classes, distance=distance, groups=groups))
-    by_fp = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    path = scratch(spark, "components")
+    with transient(spark):
+        roots = connected_components(linked(grid_members(classes.select(F.col("fp").alias("key"), "fp"), distance=distance, groups=groups), ["choice", "cell"], within(distance), label="simhash"))
+        roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+        tied = classes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "rep")
+        tied.join(tied.groupBy("root").agg(F.min("rep").alias("least")), "root").select("fp", "least").write.parquet(path)
+    by_fp = classes.join(spark.read.parquet(path), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -129,3 +147,25 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     found = near_groups(docs, id_col=id_col, text_col=text_col, **how)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+
+
+def similar_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of every group of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more the smallest id, with all its columns.
+
+    Fingerprints of the 5-word shingles go through the grid, and the pairs it finds are verified by their
+    sets. Similar texts may differ in more bits than a grid can span (about 10 of 64 at 0.8), so what it
+    leaves apart is joined on shingles, exactly (see jaccard.py).
+    """
+    spark = docs.sparkSession
+    path = scratch(spark, "kept")
+    with transient(spark):
+        marked = sets.prefixes(docs, majority, id_col=id_col, text_col=text_col)
+        check = lambda pairs: sets.verified(pairs, marked, docs, text_col)
+        prints = written(marked.groupBy("key").agg(F.min("fp").alias("fp")), "prints")
+        found = linked(grid_members(prints), ["choice", "cell"], within(DISTANCE), verified=check, label="simhash")
+        found = linked(sets.shared_cells(marked), ["cell"], sets.possible, verified=check, links=found, label="shingles")
+        placed = marked.select("doc_id", "key").join(connected_components(found), F.col("key") == F.col("node"), "left")
+        kept = placed.groupBy(F.coalesce("root", "key").alias("comp")).agg(F.min("doc_id").alias("_kept_id"))
+        kept.select("_kept_id").distinct().write.parquet(path)
+    kept = spark.read.parquet(path)
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from lodestar.llm import jaccard as J
+from lodestar.llm import simhash as S
 
 
 def shingles(text):
@@ -70,6 +71,6 @@ def test_sets_and_prefixes():
 
 
 def test_awkward(awkward, empty, spark):
-    got = sorted((r.doc_id for r in J.near_dedup(awkward).where("doc_id IS NOT NULL").select("doc_id").distinct().collect()))
+    got = sorted((r.doc_id for r in S.similar_dedup(awkward).where("doc_id IS NOT NULL").select("doc_id").distinct().collect()))
     assert got == brute([(r.doc_id, r.text) for r in awkward.collect()])
-    assert J.near_dedup(awkward).columns == awkward.columns and J.near_dedup(empty).count() == 0
+    assert S.similar_dedup(awkward).columns == awkward.columns and S.similar_dedup(empty).count() == 0

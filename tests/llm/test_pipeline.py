@@ -7,19 +7,19 @@ from lodestar.llm import language_id, pieces
 from lodestar.llm import queries as Q
 
 from .test_decontaminate import overlaps
-from .test_simhash import brute
+from .test_jaccard import brute
 
 
 def test_whole_pipeline(spark, sf, documents):
     rows = {r.doc_id: r.text for r in documents.select("doc_id", "text").collect()}
     langs, logp = language_id.train(documents.where(language_id.crc_mod(documents.doc_id, 5) != 0))
-    names, _ = language_id.scored(list(rows.values()), langs, logp)
-    rows = {i: t for (i, t), n in zip(rows.items(), names) if n != "und"}
+    names, scores = language_id.scored(list(rows.values()), langs, logp)
+    rows = {i: t for (i, t), n, s in zip(rows.items(), names, scores) if n != "und" and s >= 0.5}
     first = {}
     for i, t in sorted(rows.items()):
         first.setdefault(t, i)
     rows = {i: t for t, i in first.items()}
-    rows = {i: rows[i] for i, _, root in brute(list(rows.items())) if i == root}
+    rows = {i: rows[i] for i in brute(list(rows.items()))}
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     kept = {}
     for i, t in rows.items():
@@ -37,6 +37,24 @@ def test_stages(spark, sf, documents):
         assert stage(spark, documents, sf).columns == documents.columns
 
 
+def test_stages_on_awkward_and_empty_tables(spark, sf, awkward, empty):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, no rows: every stage keeps the columns, and the last one encodes what is left."""
+    rows, docs = {}, awkward.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == awkward.columns
+        rows[name] = sorted(r.doc_id for r in docs.select("doc_id").collect())
+        assert stage(spark, empty, sf).count() == 0 and stage(spark, empty, sf).columns == empty.columns
+    assert rows["language_id"] == [4, 5, 6, 8, 9, 10, 11, 12, 13]  # no language to learn from: all with a letter
+    assert rows["exact_dedup"] == rows["simhash_near_dedup"] == rows["benchmark_decontamination"] == [4, 6, 8, 10, 11, 12, 13]
+    last = corpus_pipeline.STAGES[-1][1]
+    assert sorted(r.doc_id for r in last(spark, docs, sf).collect()) == [4, 6, 8, 10, 11, 12, 13] and last(spark, empty, sf).count() == 0
+    repeated = awkward.where("doc_id = 8").union(awkward.where("doc_id = 8")).union(awkward.where("doc_id = 9"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        repeated = stage(spark, repeated, sf)
+    assert [r.doc_id for r in repeated.select("doc_id").collect()] == [8, 8]
+
+
 def test_names():
     assert sorted(Q.queries(), key=lambda n: int(n[2:].split("_")[0])) == [n for n in sorted(Q.queries(), key=lambda n: int(n[2:].split("_")[0]))] and len(Q.queries()) == 10
     assert set(Q.oracle_sql()) <= set(Q.queries())
