@@ -1,4 +1,4 @@
-"""Connected components of an edge table, in rounds of joins on thin rows."""
+"""Connected components of an edge table, and links within cells, in rounds of joins on thin rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, small_enough, transient, written
+
+#: Thin rows up to which a side is broadcast; more are joined by shuffle.
+MOST_BROADCAST = 500_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """To be broadcast, if it was counted to be small."""
+    return F.broadcast(rows) if small_enough(rows, MOST_BROADCAST) else rows
 
 
 def connected_components(edges: DataFrame, *, max_rounds: int = 100) -> DataFrame:
@@ -18,55 +26,56 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 100) -> DataFram
     so lineage stays short. Minima are aggregates with map-side combination; the joins that follow are
     plain equi-joins on the node, which adaptive execution splits where a node has very many edges.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    state = None
-    for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = written(small, "small-star")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = tuple(now)
-    raise RuntimeError("components did not settle")
+    spark, path = edges.sparkSession, scratch(edges.sparkSession, "components")
+    with transient(spark):
+        edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        state = None
+        for _ in range(max_rounds if not edges.isEmpty() else 0):
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            large = written(large, "large-star")
+            low = large.groupBy("a").agg(F.min("b").alias("m"))
+            edges = written(large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "small-star")
+            now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+            if now == state:
+                break
+            state = now
+        else:
+            if state is not None:
+                raise RuntimeError("components did not settle")
+        edges.select(F.col("a").alias("node"), F.col("b").alias("root")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def linked(members: DataFrame, cell: list[str], near: Callable[[str, str], Column], *, verified: Callable[[DataFrame], DataFrame] | None = None, links: DataFrame | None = None, label: str = "links") -> DataFrame:
+def linked(rows: DataFrame, cells: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], *, verified: Callable[[DataFrame], DataFrame] | None = None, links: DataFrame | None = None, whole: bool = True, label: str = "links") -> DataFrame:
     """(a, b): links between keys that share a cell, enough of them to connect all that are linked by any.
 
-    members: the columns of `cell`, key, and what near(l, r) reads; near says whether the rows under the
-    aliases l and r may be linked; verified keeps the true links of (a, b) pairs, where near alone does not
-    decide. `links` that are known before need not be found again.
+    rows: a row per key with what cells(rows) needs to give (cell, key, comp, …), a row per cell of a key,
+    and what near(l, r) reads; near says whether the rows under the aliases l and r may be linked; verified
+    keeps the true links of (a, b) pairs, where near alone does not decide. `links` that are known before
+    need not be found again.
 
     First every cell's members are compared with one of them, which ties most of a large group at linear
-    cost. Then members that are not yet connected with the bulk of their cell, the component of that one,
-    are compared with all members of other components: pairs of one component are never made, so n texts
-    that are all alike give n links and not n * n.
+    cost. Then, if the links are to be `whole`, members that are not yet connected with the bulk of their
+    cell, the component of that one, are compared with all members of other components: pairs of one
+    component are never made, so n texts that are all alike give n links and not n * n.
     """
-    others = [c for c in members.columns if c not in cell]
-    for last in (False, True):
-        now = members.withColumn("comp", F.col("key"))
+    for last in (False, True) if whole else (False,):
+        now = rows.withColumn("comp", F.col("key"))
         if links is not None:
-            roots = connected_components(links)
-            now = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
-        one = F.min(F.struct(F.xxhash64(F.lit(label), "key").alias("_h"), *others, "comp")).alias("_one")
-        spread = (F.min("comp") != F.max("comp")).alias("_spread")
-        centre = now.groupBy(*cell).agg(one, spread).where("_spread").select(*cell, "_one.*").drop("_h")
+            now = rows.join(small(connected_components(links)), F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
+        now = cells(now)
+        others = [c for c in now.columns if c != "cell"]
+        centre = now.groupBy("cell").agg(F.min(F.struct(*others)).alias("_one"), (F.min("comp") != F.max("comp")).alias("_spread")).where("_spread").select("cell", "_one.*")
         if last:
-            now = written(now.join(centre.select(*cell, F.col("comp").alias("_bulk")), cell), f"{label}-members")
+            centre = small(written(centre.select("cell", F.col("comp").alias("_bulk")), f"{label}-bulks"))
+            now = written(now.join(centre, "cell"), f"{label}-members")
             left = now.where("comp <> _bulk")
         else:
             left = centre
-        on = (F.col("l.comp") != F.col("r.comp")) & near("l", "r")
-        for c in cell:
-            on &= F.col(f"l.{c}") == F.col(f"r.{c}")
-        met = left.alias("l").join(now.alias("r"), on).select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b")).distinct()
+        met = left.alias("l").join(now.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (F.col("l.comp") != F.col("r.comp")) & near("l", "r"))
+        met = met.select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b")).distinct()
         found = verified(met) if verified else written(met, label)
         links = found if links is None else links.unionByName(found)
     return links

@@ -19,7 +19,7 @@ empty table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.storage import small_enough
-
-from .common import shingle_hashes, written
+from .common import scratch, shingle_hashes, transient, written
+from .components import small
 
 SEED, SHINGLE = 42, 5
 #: Numerator and denominator.
@@ -37,8 +36,6 @@ SIMILARITY = (4, 5)
 #: Texts of the sample, how many of them make a shingle common, and the most shingles kept as common.
 SAMPLE, COMMON, MOST_COMMON = 4000, 8, 10_000
 EMPTY = np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
-#: Rows of one number each; more are joined by shuffle.
-MOST_BROADCAST = 2_000_000
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -120,26 +117,40 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 def promising(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     """Without the pairs whose prefixes share too little: what is shared besides lies behind the prefix that ends first."""
-    pairs = written(pairs, "pairs")
-    one = written(marked.join(ends(pairs), "key", "left_semi").select("key", F.struct("n", "last", "prefix").alias("s")).dropDuplicates(["key"]), "ends")
+    one = written(marked.join(small(written(ends(pairs), "ends")), "key", "left_semi").select("key", F.struct("n", "last", "prefix").alias("s")).dropDuplicates(["key"]), "end-prefixes")
     both = pairs.join(one.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(one.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
     x, y = F.col("x.n") - F.size("x.prefix"), F.col("y.n") - F.size("y.prefix")
     behind = F.when(F.col("x.last") < F.col("y.last"), x).when(F.col("x.last") > F.col("y.last"), y).otherwise(F.greatest(x, y))
     return both.where(similar(F.size(F.array_intersect("x.prefix", "y.prefix")) + behind, F.col("x.n"), F.col("y.n"))).select("a", "b")
 
 
+def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, text of a, text of b) to the (a, b) whose sets are similar; of texts of a that follow each other the set is made once."""
+    top, bottom = SIMILARITY
+    known: tuple[int | None, np.ndarray] = (None, EMPTY)
+    for batch in batches:
+        good = np.zeros(batch.num_rows, bool)
+        for i, (a, x, y) in enumerate(zip(*(batch.column(k) for k in (0, 2, 3)))):
+            if known[0] != a.as_py():
+                known = (a.as_py(), shingle_set(x.as_py()))
+            other = shingle_set(y.as_py())
+            common = len(np.intersect1d(known[1], other, assume_unique=True))
+            good[i] = (top + bottom) * common >= top * (len(known[1]) + len(other))
+        yield batch.select([0, 1]).filter(pa.array(good))
+
+
 def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) of set keys whose sets are similar."""
-    pairs = written(promising(pairs, marked), "promising")
-    one = written(marked.join(ends(pairs), "key", "left_semi").groupBy("key").agg(F.min("text_hash").alias("text_hash")).select("text_hash"), "needed")
-    if small_enough(one, MOST_BROADCAST):
-        one = F.broadcast(one)
-    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    texts = texts.join(one, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
-    whole = lambda t: ((s := shingle_set(t)), set_key(s))
-    sets = written(arrays(texts, ["text_hash"], "text", "hashes array<bigint>, key bigint", whole).select("key", "hashes"), "sets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
-    return written(both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "links")
+    """Those of the pairs (a, b) of set keys whose sets are similar. Texts are shuffled rather than their sets, which take more bytes."""
+    spark, path = pairs.sparkSession, scratch(pairs.sparkSession, "links")
+    with transient(spark):
+        pairs = written(promising(written(pairs, "pairs"), marked), "promising")
+        one = written(marked.join(small(written(ends(pairs), "ends")), "key", "left_semi").groupBy("key").agg(F.min("text_hash").alias("text_hash")), "needed")
+        hashed = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+        texts = hashed.join(small(one), "text_hash").groupBy("key").agg(F.first("text").alias("text"))
+        texts = written(texts.withColumn("text", F.coalesce("text", F.lit(""))), "texts")
+        both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
+        both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def prefixes(docs: DataFrame, majority, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,11 +167,10 @@ def prefixes(docs: DataFrame, majority, *, id_col: str = "doc_id", text_col: str
     return written(arrays(rows, ["doc_id", "text_hash"], "text", "key bigint, n bigint, fp bigint, last bigint, prefix array<bigint>", mark), "prefixes")
 
 
-def shared_cells(marked: DataFrame) -> DataFrame:
-    """(cell, key, n, pos): where sets have a shingle of their prefix, if another set has it too."""
+def shared_cells(marked: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(key, n, prefix) of the distinct sets, and what gives (cell, key, comp, n, pos) from them: where a set has a shingle of its prefix, if another set has it too."""
     cells = marked.select("key", F.explode("prefix").alias("cell")).groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("cell")
-    cells = written(cells, "cells")
-    if small_enough(cells, MOST_BROADCAST):
-        cells = F.broadcast(cells)
-    members = marked.select("key", "n", F.posexplode("prefix").alias("pos", "cell")).join(cells, "cell", "left_semi")
-    return written(members.distinct(), "shared")
+    cells = small(written(cells, "cells"))
+    shared = marked.select("key", "n", F.posexplode("prefix").alias("pos", "cell")).join(cells, "cell", "left_semi")
+    shared = written(shared.distinct(), "shared")
+    return shared, lambda rows: rows.select("cell", "key", "comp", "n", "pos")

@@ -114,17 +114,17 @@ def links(classes: DataFrame, *, distance: int = DISTANCE, groups: int | None =
     return left.join(right, on).select(F.col("l_rep").alias("a"), F.col("r_rep").alias("b"))
 
 
-def grid_members(prints: DataFrame, *, distance: int = DISTANCE, groups: int | None = None) -> DataFrame:
-    """(key, fp) to (choice, cell, key, fp, t): a row for each cell of the grid that a fingerprint lies in."""
-    cells = [F.struct(F.lit(i).alias("choice"), F.col("t").bitwiseAND(F.lit(m)).alias("cell")) for i, (m, _) in enumerate(grid(distance, groups or grid_groups(prints.count(), distance)))]
-    marked = prints.select("key", "fp", unary_popcounts(F.col("fp")).alias("t"))
-    return marked.select("key", "fp", "t", F.explode(F.array(*cells)).alias("c")).select("c.choice", "c.cell", "key", "fp", "t")
+def grid_cells(distance: int, groups: int) -> Callable[[DataFrame], DataFrame]:
+    """(key, fp, comp) to (cell, key, fp, comp): a row for each cell of the grid that a fingerprint lies in. A cell is known by a hash of its choice and its counts."""
+    masks = [m for m, _ in grid(distance, groups)]
+    cells = F.array(*[F.xxhash64(F.lit(i), unary_popcounts(F.col("fp")).bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    return lambda rows: rows.select(F.explode(cells).alias("cell"), "key", "fp", "comp")
 
 
 def within(distance: int) -> Callable[[str, str], Column]:
-    """Whether two rows of the grid are within the distance: by the bound on their bit counts, then by the fingerprints."""
-    apart = lambda a, b, c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) <= distance
-    return lambda a, b: apart(a, b, "t") & apart(a, b, "fp")
+    """Whether two fingerprints are within the distance: by the bound on their bit counts, then by themselves."""
+    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= distance
+    return lambda a, b: apart(unary_popcounts(F.col(f"{a}.fp")), unary_popcounts(F.col(f"{b}.fp"))) & apart(F.col(f"{a}.fp"), F.col(f"{b}.fp"))
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, groups: int | None = None) -> DataFrame:
@@ -134,7 +134,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     path = scratch(spark, "components")
     with transient(spark):
-        roots = connected_components(linked(grid_members(classes.select(F.col("fp").alias("key"), "fp"), distance=distance, groups=groups), ["choice", "cell"], within(distance), label="simhash"))
+        cells = grid_cells(distance, groups or grid_groups(classes.count(), distance))
+        roots = connected_components(linked(classes.select(F.col("fp").alias("key"), "fp"), cells, within(distance), label="simhash"))
         roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         tied = classes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "rep")
         tied.join(tied.groupBy("root").agg(F.min("rep").alias("least")), "root").select("fp", "least").write.parquet(path)
@@ -152,9 +153,9 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def similar_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of every group of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more the smallest id, with all its columns.
 
-    Fingerprints of the 5-word shingles go through the grid, and the pairs it finds are verified by their
-    sets. Similar texts may differ in more bits than a grid can span (about 10 of 64 at 0.8), so what it
-    leaves apart is joined on shingles, exactly (see jaccard.py).
+    Fingerprints of the 5-word shingles go through the grid, and the pairs that its first round finds are
+    verified by their sets. Similar texts may differ in more bits than a grid can span (about 10 of 64 at
+    0.8), so what it leaves apart is joined on shingles, exactly (see jaccard.py).
     """
     spark = docs.sparkSession
     path = scratch(spark, "kept")
@@ -162,8 +163,9 @@ def similar_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         marked = sets.prefixes(docs, majority, id_col=id_col, text_col=text_col)
         check = lambda pairs: sets.verified(pairs, marked, docs, text_col)
         prints = written(marked.groupBy("key").agg(F.min("fp").alias("fp")), "prints")
-        found = linked(grid_members(prints), ["choice", "cell"], within(DISTANCE), verified=check, label="simhash")
-        found = linked(sets.shared_cells(marked), ["cell"], sets.possible, verified=check, links=found, label="shingles")
+        cells = grid_cells(DISTANCE, grid_groups(prints.count(), DISTANCE))
+        found = linked(prints, cells, within(DISTANCE), verified=check, whole=False, label="simhash")
+        found = linked(*sets.shared_cells(marked), sets.possible, verified=check, links=found, label="shingles")
         placed = marked.select("doc_id", "key").join(connected_components(found), F.col("key") == F.col("node"), "left")
         kept = placed.groupBy(F.coalesce("root", "key").alias("comp")).agg(F.min("doc_id").alias("_kept_id"))
         kept.select("_kept_id").distinct().write.parquet(path)
