@@ -4,13 +4,14 @@ A document is the average of the learned vectors of its hashed words, word pairs
 (case kept). Word pairs are hashed by exclusive or, so a repeated word always meets the same bucket. Two
 classes; vectors and output weights are trained together by numpy stochastic gradient descent on the
 driver, from a bounded sample: about TRAIN_ROWS labelled rows of each class, of at most TRAIN_CHARS
-characters, reduced to sparse counts on the executors. For scoring, a bucket's vector times the output
+characters, reduced to sparse counts on the executors, of which at most about TRAIN_BYTES bytes reach the
+driver: of more, a share chosen by a hash of the id. An id that repeats is learned from once. For scoring, a bucket's vector times the output
 weights is one number, so the model is an array of BUCKETS floats, broadcast; each text is read once and
 nothing is shuffled.
 
 Defined results. Null and empty texts are scored by the bias alone. Texts of any length are scored whole.
 Repeated rows get equal results. Labels that are null are not learned from; without labels of both
-classes the score is 0.5. Extra columns are not read.
+classes the score is 0.5. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_sample, code_points, crc_mod, mix
+from .common import blocks, bounded_sample, code_points, crc_mod, hash_place, mix, written
 
 BITS, DIM, EPOCHS, RATE = 16, 16, 8, 2.0
 BUCKETS = 1 << BITS
-TRAIN_ROWS, TRAIN_CHARS = 2000, 200_000
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_BYTES = 2000, 200_000, 256 << 20
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,10 +97,14 @@ def descend(rows: list[tuple[int, np.ndarray, np.ndarray]], *, epochs: int = EPO
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def train(sample: DataFrame) -> tuple[np.ndarray, float]:
+def train(sample: DataFrame, train_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, float]:
     """From (_id, _label, _text) rows, a bounded number of them."""
     kind = sample.schema["_id"].dataType.simpleString()
-    got = sample.mapInArrow(sparse_counts, f"id {kind}, label int, buckets array<int>, counts array<int>").toArrow()
+    rows = written(sample.mapInArrow(sparse_counts, f"id {kind}, label int, buckets array<int>, counts array<int>"), "quality-counts")
+    size = rows.agg(F.sum(8 * F.size("buckets").cast("long"))).first()[0] or 0
+    if size > train_bytes:
+        rows = rows.where(hash_place("bytes", F.col("id")) < train_bytes / size)
+    got = rows.toArrow()
     rows = sorted(zip(got["id"].to_pylist(), got["label"].to_pylist(), range(got.num_rows)), key=lambda r: (str(r[0]), r[1]))
     arrays = [(c.combine_chunks().flatten().to_numpy(), np.concatenate([[0], np.cumsum(c.combine_chunks().value_lengths().to_numpy())])) for c in (got["buckets"], got["counts"])] if got.num_rows else []
     pick = lambda a, i: a[0][a[1][i] : a[1][i + 1]]
@@ -132,11 +137,11 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, float], *, id_col: str = "
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, mod: int, left_out: int, per_class: int, most_chars: int) -> DataFrame:
-    """(_id, _label, _text) of about `per_class` learnable rows of each class. Chosen from the labels alone, so the broadcast side has a few thousand rows at any size and no text is shuffled."""
-    learn = labels.where((crc_mod(F.col(id_col), mod) != left_out) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    """(_id, _label, _text) of about `per_class` learnable ids of each class. Chosen from the distinct labels alone, so the broadcast side has a few thousand rows at any size, and only the texts chosen are shuffled."""
+    learn = labels.where((crc_mod(F.col(id_col), mod) != left_out) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).distinct()
     chosen = bounded_sample(learn, "_label", "_id", per_class)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where(F.length("_text") <= most_chars)
-    return rows.join(F.broadcast(chosen), "_id").select("_id", "_label", "_text")
+    return rows.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 5, threshold: float = 0.3) -> DataFrame:
