@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.storage import drop_scratch, scratch, shared_dir, small_enough, transient, written
 
-__all__ = ["ascii_lower", "blocks", "bounded_sample", "char_tables", "code_points", "crc_mod", "drop_scratch", "hash_place", "lowered", "mix", "scratch", "shared_dir", "shingle_hashes", "small_enough", "table", "transient", "words", "written"]
+__all__ = ["ascii_lower", "blocks", "bounded_batches", "bounded_sample", "char_tables", "code_points", "crc_mod", "drop_scratch", "hash_place", "lowered", "mix", "scratch", "shared_dir", "shingle_hashes", "small_enough", "table", "transient", "words", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that goes to a Python worker: texts may be long, and a worker and its executor hold a batch several times.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(rows: DataFrame) -> DataFrame:
+    """The frame as it is. Batches for Python workers get BATCH_ROWS rows from now on, unless the session has set a number of its own."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return rows
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

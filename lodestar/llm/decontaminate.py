@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, code_points, lowered, mix, words, written
+from .common import blocks, bounded_batches, code_points, lowered, mix, words, written
 
 #: Positions of each mask that count; the others are ignored.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 3, 4, 5, 7))
@@ -238,7 +238,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
                         spans[start + text].append({"item_id": held.item_ids[item], "start_word": begin, "equal_words": equal})
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span_type)], ["doc_id", "spans"])
 
-        one = docs.select(id_col, text_col).mapInArrow(run, schema)
+        one = bounded_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)
         parts.append(one.where(F.size("spans") > 0) if parts else one)
         last = shared
     found = reduce(DataFrame.unionByName, parts)
@@ -262,5 +262,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
                     clean[start + held.search(part)[0]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs, last = docs.mapInArrow(run, docs.schema), shared
+        docs, last = bounded_batches(docs).mapInArrow(run, docs.schema), shared
     return docs

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, shingle_hashes, transient, written
+from .common import bounded_batches, scratch, shingle_hashes, transient, written
 from .components import small
 
 SEED, SHINGLE = 42, 5
@@ -66,7 +66,7 @@ def arrays(docs: DataFrame, ids: list[str], text_col: str, made: str, make) -> D
                 rows = list(zip(*(make(t.as_py()) for t in part.column(part.num_columns - 1))))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *rows_to_arrow(rows)], [*part.schema.names[:-1], *schema.names])
 
-    return docs.select(*ids, text_col).mapInArrow(run, ", ".join(kinds))
+    return bounded_batches(docs.select(*ids, text_col)).mapInArrow(run, ", ".join(kinds))
 
 
 def rows_to_arrow(columns: list[tuple]) -> list[pa.Array]:
@@ -149,7 +149,7 @@ def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame, text_col: str
         texts = hashed.join(small(one), "text_hash").groupBy("key").agg(F.first("text").alias("text"))
         texts = written(texts.withColumn("text", F.coalesce("text", F.lit(""))), "texts")
         both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
-        both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint").write.parquet(path)
+        bounded_batches(both.select("a", "b", "x", "y")).mapInArrow(alike, "a bigint, b bigint").write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_sample, code_points, crc_mod, lowered
+from .common import blocks, bounded_batches, bounded_sample, code_points, crc_mod, lowered
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 16, (1, 2, 3), 0.5
 TRAIN_ROWS, TRAIN_CHARS = 1500, 200_000
@@ -76,7 +76,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """(languages, log-probabilities float32 of shape (BUCKETS, languages))."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS))
     sample = bounded_sample(rows.select(F.col(id_col), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")), "_lang", id_col, per_language)
-    counts = sample.select("_lang", "_text").mapInArrow(counted, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = bounded_batches(sample.select("_lang", "_text")).mapInArrow(counted, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.full((BUCKETS, len(langs)), SMOOTHING)
     table[counts["bucket"].to_numpy(np.int64), np.searchsorted(langs, counts["lang"].to_numpy(str)) if langs else np.empty(0, np.int64)] += counts["n"].to_numpy(np.float64)
@@ -116,7 +116,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return bounded_batches(docs.select(id_col, text_col)).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_mod: int = 5) -> DataFrame:
@@ -145,4 +145,4 @@ def accepted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 found, score = scored(part.column(at).to_pylist(), names, table)
                 yield part.filter(pa.array([x != UNKNOWN and s >= told for x, s in zip(found, score.tolist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

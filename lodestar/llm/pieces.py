@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, written
+from .common import blocks, bounded_batches, written
 
 GIANT_CHARS, CHUNK_CHARS, RUN, SEARCH = 65_536, 32_768, 64, 512
 NEVER = float("-inf")
@@ -185,7 +185,7 @@ def encode_small(docs: DataFrame, id_col: str, text_col: str, path: str) -> Data
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), list_column(own.encode(texts, num_threads=1))], ["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return bounded_batches(docs.select(id_col, text_col)).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def encode_giant(docs: DataFrame, id_col: str, text_col: str, path: str, chunk_chars: int = CHUNK_CHARS, search: int = SEARCH) -> DataFrame:
@@ -249,9 +249,9 @@ def encode_giant(docs: DataFrame, id_col: str, text_col: str, path: str, chunk_c
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], list_column(rows)], ["doc_id", "key", "chunk", "ids"])
 
     keyed = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("key"), F.col(text_col))
-    chunks = keyed.mapInArrow(cut, f"doc_id {kind}, key bigint, chunk int, last int, l string, body string, r string")
+    chunks = bounded_batches(keyed).mapInArrow(cut, f"doc_id {kind}, key bigint, chunk int, last int, l string, body string, r string")
     chunks = written(chunks.repartition("key", "chunk"), "piece-chunks")
-    matrices = written(chunks.select("key", "chunk", "l", "body", "r").mapInArrow(transfer, f"key bigint, chunk int, cells {CELLS_SQL}"), "piece-matrices").withColumn("run", F.floor(F.col("chunk") / RUN).cast("int"))
+    matrices = written(bounded_batches(chunks.select("key", "chunk", "l", "body", "r")).mapInArrow(transfer, f"key bigint, chunk int, cells {CELLS_SQL}"), "piece-matrices").withColumn("run", F.floor(F.col("chunk") / RUN).cast("int"))
     runs = matrices.groupBy("key", "run").applyInPandas(run_product, f"key bigint, run int, cells {CELLS_SQL}")
     between = runs.groupBy("key").applyInPandas(run_states, "key bigint, run int, a int, b int, c int, d int")
     states = matrices.join(between, ["key", "run"]).groupBy("key", "run").applyInPandas(chunk_states, "key bigint, chunk int, a int, b int, c int, d int")
@@ -278,7 +278,7 @@ def decode(encoded: DataFrame, *, model: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.decode(batch.column(1).to_pylist(), num_threads=1), pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return bounded_batches(encoded.select("doc_id", "ids")).mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def digest(encoded: DataFrame, *, model: str | None = None) -> DataFrame:
@@ -298,7 +298,7 @@ def digest(encoded: DataFrame, *, model: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "ids_crc32", "text_sha256", "text_bytes"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, text_sha256 string, text_bytes bigint")
+    return bounded_batches(encoded.select("doc_id", "ids")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, text_sha256 string, text_bytes bigint")
 
 
 def round_trip(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_sample, code_points, crc_mod, hash_place, mix, written
+from .common import blocks, bounded_batches, bounded_sample, code_points, crc_mod, hash_place, mix, written
 
 BITS, DIM, EPOCHS, RATE = 16, 16, 8, 2.0
 BUCKETS = 1 << BITS
@@ -100,7 +100,7 @@ def descend(rows: list[tuple[int, np.ndarray, np.ndarray]], *, epochs: int = EPO
 def train(sample: DataFrame, train_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, float]:
     """From (_id, _label, _text) rows, a bounded number of them."""
     kind = sample.schema["_id"].dataType.simpleString()
-    rows = written(sample.mapInArrow(sparse_counts, f"id {kind}, label int, buckets array<int>, counts array<int>"), "quality-counts")
+    rows = written(bounded_batches(sample).mapInArrow(sparse_counts, f"id {kind}, label int, buckets array<int>, counts array<int>"), "quality-counts")
     size = rows.agg(F.sum(8 * F.size("buckets").cast("long"))).first()[0] or 0
     if size > train_bytes:
         rows = rows.where(hash_place("bytes", F.col("id")) < train_bytes / size)
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, float], *, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return bounded_batches(docs.select(id_col, text_col)).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, mod: int, left_out: int, per_class: int, most_chars: int) -> DataFrame:

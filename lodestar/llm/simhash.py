@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard as sets
-from .common import scratch, shingle_hashes, transient, written
+from .common import bounded_batches, scratch, shingle_hashes, transient, written
 from .components import connected_components, linked
 from .jaccard import signed
 
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return bounded_batches(docs.select(id_col, text_col)).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
 def unary_popcounts(fp: Column) -> Column:

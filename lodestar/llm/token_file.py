@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import bounded_batches, scratch
 
 END_ID, ROW_GROUP, PAGE = 2, 32 << 20, 256 << 10
 #: Characters of a text by which rows that repeat an id are dealt.
@@ -215,7 +215,7 @@ def write_tokens(docs: DataFrame, path: str, *, vocabulary: str | None = None, i
     # a repeated id is dealt by its texts, and a repeated row by where it was read, so neither fills a range by itself
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.substring(text_col, 1, LEAD).alias("lead"))
     ranged = keyed.repartitionByRange("id", "lead", F.spark_partition_id()).sortWithinPartitions("id", "lead", "text").select("id", "text")
-    tokens = ranged.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, part int, part_start bigint, ids array<int>")
+    tokens = bounded_batches(ranged).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, part int, part_start bigint, ids array<int>")
     options = {"compression": "snappy", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true"}
     tokens.write.options(**options).parquet(path)
 

@@ -4,14 +4,18 @@ Kernel. Two character strings are compared by all subsequences of ORDER characte
 weighted by DECAY to the power of the span it takes in either, and normalised by the strings' own values.
 Gaps cost a factor but break nothing, so inserted characters and spaced-out letters still match.
 
-Features. A text is the bag of its units: blank-separated tokens in lower case without outer punctuation
-(long ones cut into overlapping windows), and runs of one-character tokens joined. Its value at a landmark
-is the largest kernel value over its units. Landmarks are chosen from a bounded sample of labelled
-sentences: strings (words and word beginnings) that cover many toxic texts and few others, then frequent
-ordinary words. The kernel matrix of the landmarks to the power -1/2 maps the values to Nyström
-coordinates, on which a linear SVM is trained by subgradient descent, with a logistic curve on its margin.
-
-Toxic training texts appear twice, the second time with one insult left, which has a foreign character inside.
+Features. A text is the bag of its units: blank-separated tokens in lower case without outer punctuation,
+and runs of one-character tokens joined. A unit's value at a landmark is the largest of its pieces, which are
+its windows (one, unless it is long) and its shortest beginnings. At a landmark it has two
+values: the mean of the kernel over its units, which is the kernel of the whole text and the landmark, and
+the largest, which one insult in a long text raises. Landmarks are chosen from a bounded sample of labelled
+sentences: strings (words and word beginnings) that cover many toxic texts and few others, or that toxic
+texts hold densely and others do not, then frequent ordinary words. The kernel matrix of the landmarks to
+the power -1/2 maps both values to Nyström coordinates, on which a linear SVM is trained by subgradient
+descent, with a logistic curve on its margin.
+
+Toxic training texts appear twice, the second time with a foreign character inside their insults; some
+empty texts are added as clean ones, so that meeting no landmark speaks against toxicity.
 Training uses about TRAIN_ROWS labelled rows of each class, of at most TRAIN_CHARS characters. The model
 is a few kilobytes and is broadcast. Every text is scored whole, in place, without a shuffle. A worker
 keeps the kernel values of at most REMEMBERED units.
@@ -23,7 +27,7 @@ table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod
+from .common import blocks, bounded_batches, crc_mod
 from .quality import labelled_sample
 
 ORDER, DECAY = 3, 0.8
-#: Share of the string's own value in the normalisation (the rest is the landmark's), and the Gaussian's width.
-NORM, WIDTH = 0.25, 0.2
+#: The Gaussian's width, and what the mean over a text's units is multiplied with.
+WIDTH, MEAN_SCALE = 0.15, 60.0
+#: Share of a text's tokens, and number of them, from which it holds a string densely.
+DENSE, DENSE_COUNT = 0.005, 2
 WINDOW, STEP = 24, 12
 OTHER_LANDMARKS, PART = 8, 6
 TRAIN_ROWS, TRAIN_CHARS, REMEMBERED = 1200, 50_000, 150_000
@@ -54,16 +60,16 @@ def stripped(unit: str) -> str:
     return unit[a:b]
 
 
-def units(text: str | None) -> set[str]:
-    """The distinct tokens of a text, as they are, and its joined runs of one-character tokens."""
+def units(text: str | None) -> Counter[str]:
+    """The tokens of a text, as they are, and its joined runs of one-character tokens, with how often they occur."""
     found = (text or "").lower().split()
-    out = set(found)
+    out = Counter(found)
     single = np.fromiter(map(len, found), np.int64, len(found)) == 1
     if single.any():
         edge = np.diff(np.concatenate([[0], single.view(np.int8), [0]]))
         for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
             if b - a >= ORDER:
-                out.add("".join(found[a:b]))
+                out["".join(found[a:b])] += 1
     return out
 
 
@@ -72,6 +78,12 @@ def windows(unit: str) -> list[str]:
     return [unit] if len(unit) <= WINDOW else [unit[i : i + WINDOW] for i in range(0, len(unit) - WINDOW + STEP, STEP)]
 
 
+def pieces(unit: str) -> list[str]:
+    """The strings that stand for a token: its windows, and the beginnings that are as short as a landmark may be."""
+    own = windows(unit)
+    return own + [own[0][:k] for k in range(4, min(PART, len(own[0]) - 1) + 1)]
+
+
 def as_codes(strings: list[str]) -> np.ndarray:
     """Code points, a string per column, padded with 0."""
     width = max(map(len, strings), default=0)
@@ -119,7 +131,7 @@ def letter_masks(codes: np.ndarray) -> np.ndarray:
 
 
 def similarities(strings: list[str], landmarks: list[str], own: np.ndarray, batch: int = 8192) -> np.ndarray:
-    """Kernel values in the unit interval, one row per string: normalised, then sharpened by the Gaussian of the distance they imply. Strings that share too few characters with a landmark have value 0 without computation; batches are of like length."""
+    """Kernel values in the unit interval, one row per string: normalised by both strings' own values, then sharpened by the Gaussian of the distance they imply. Strings that share too few characters with a landmark have value 0 without computation; batches are of like length."""
     out = np.zeros((len(strings), len(landmarks)), np.float32)
     order = np.array(sorted((i for i, s in enumerate(strings) if len(s) >= ORDER), key=lambda i: len(strings[i])), np.int64)
     theirs = letter_masks(as_codes(landmarks))
@@ -131,17 +143,51 @@ def similarities(strings: list[str], landmarks: list[str], own: np.ndarray, batc
         for j, landmark in enumerate(landmarks):
             common = np.flatnonzero(np.bitwise_count(masks & theirs[j]) >= min(ORDER, len(set(landmark))))
             if len(common):
-                value = subsequence_kernel(np.ascontiguousarray(codes[:, common]), landmark) / (norm[common] ** NORM * own[j] ** (1 - NORM))
+                value = subsequence_kernel(np.ascontiguousarray(codes[:, common]), landmark) / np.sqrt(norm[common] * own[j])
                 out[at[common], j] = np.exp((np.minimum(value, 1) - 1) / WIDTH)
     return out
 
 
+def beginnings(word: str) -> set[str]:
+    """The beginnings of a word that may be landmarks, itself included; none of a short one."""
+    return {word[:k] for k in {*range(4, min(len(word), PART) + 1), min(len(word), 2 * PART), min(len(word), WINDOW)}} if len(word) >= 4 else set()
+
+
+def dense_landmarks(counts: list[Counter[str]], labels: np.ndarray) -> list[str]:
+    """Greedy cover of the toxic texts by word beginnings that many hold densely and few others do: stems that ordinary words share are told by how many there are."""
+    holders: dict[str, list[int]] = defaultdict(list)
+    for i, bag in enumerate(counts):
+        total, own = sum(bag.values()), Counter()
+        for u, n in bag.items():
+            for s in beginnings(stripped(u)):
+                own[s] += n
+        for s, n in own.items():
+            if n >= DENSE_COUNT and n >= DENSE * total:
+                holders[s].append(i)
+    need, picked, covered = max(3, int(labels.sum()) // 100), [], np.zeros(len(counts), bool)
+    candidates = {s: (np.array([i for i in at if labels[i]], np.int64), sum(1 for i in at if not labels[i])) for s, at in holders.items() if len(at) >= need}
+    candidates = {s: v for s, v in candidates.items() if len(v[0]) >= max(need, 4 * v[1])}
+    while candidates:
+        gains = {s: (int((~covered[at]).sum()) - 2 * others, len(s), s) for s, (at, others) in candidates.items()}
+        best = max(candidates, key=gains.__getitem__)
+        if gains[best][0] < need:
+            break
+        picked.append(best)
+        covered[candidates.pop(best)[0]] = True
+    return picked
+
+
 def chosen_landmarks(bags: list[set[str]], labels: np.ndarray) -> list[str]:
-    """Greedy cover of the toxic texts by words and word beginnings that other texts seldom have, then the most frequent ordinary words."""
+    """landmark_kinds() as one list."""
+    toxic, plain = landmark_kinds(bags, labels)
+    return toxic + plain
+
+
+def landmark_kinds(bags: list, labels: np.ndarray) -> tuple[list[str], list[str]]:
+    """(greedy cover of the toxic texts by words and word beginnings that other texts seldom have, the most frequent ordinary words)."""
     holders: dict[str, list[int]] = defaultdict(list)
     for i, bag in enumerate(bags):
-        own = {stripped(u) for u in bag}
-        for s in {w[:k] for w in own for k in {*range(4, min(len(w), PART) + 1), min(len(w), 2 * PART), min(len(w), WINDOW)} if len(w) >= 4}:
+        for s in {s for u in bag for s in beginnings(stripped(u))}:
             holders[s].append(i)
     need = max(3, int(labels.sum()) // 60)
     candidates = {s: (np.array([i for i in at if labels[i]]), sum(1 for i in at if not labels[i])) for s, at in holders.items() if len(at) >= need}
@@ -160,51 +206,59 @@ def chosen_landmarks(bags: list[set[str]], labels: np.ndarray) -> list[str]:
         covered[candidates[best][0]] += 1
         found = set(candidates[best][0])  # of longer words, those with toxic texts of their own stay
         candidates = {s: v for s, v in candidates.items() if not best.startswith(s) and not (s.startswith(best) and found.issuperset(v[0]))}
-    toxic = len(picked)
-    plain = {s: n for s, at in holders.items() if (n := sum(1 for i in at if not labels[i])) >= need}
-    for s, _ in sorted(plain.items(), key=lambda x: (-x[1], x[0])):
-        if len(picked) == toxic + OTHER_LANDMARKS:
+    common = {s: n for s, at in holders.items() if (n := sum(1 for i in at if not labels[i])) >= need}
+    plain: list[str] = []
+    for s, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])):
+        if len(plain) == OTHER_LANDMARKS:
             break
-        if all(s[:4] != p[:4] for p in picked):
-            picked.append(s)
-    return picked
+        if all(s[:4] != p[:4] for p in picked + plain):
+            plain.append(s)
+    return picked, plain
 
 
-def with_insertions(bag: set[str], landmarks: tuple[str, ...], seed: int) -> set[str] | None:
-    """The bag with one of its insults left, and a foreign character inside that: what the training shows as a disguised insult. None without an insult."""
-    insults = sorted(s for u in bag if (s := stripped(u)).startswith(landmarks))
-    rest = {u for u in bag if not stripped(u).startswith(landmarks)}
+def with_insertions(bag: Counter[str], landmarks: tuple[str, ...], seed: int) -> Counter[str] | None:
+    """The bag with its insults disguised by a foreign character inside each: all of them for even seeds, else one alone, the others left out. None without an insult."""
+    insults = sorted(u for u in bag if stripped(u).startswith(landmarks)) if landmarks else []
     if not insults:
         return None
-    s = insults[seed % len(insults)]
-    at = 1 + (len(s) + seed) % 3
-    return rest | {s[:at] + "-*_.x"[seed % 5] + s[at:]}
+    out = Counter({u: n for u, n in bag.items() if u not in set(insults)})
+    for k, u in enumerate(insults if seed % 2 == 0 else [insults[seed % len(insults)]]):
+        s = stripped(u)
+        at = 1 + (len(s) + seed + k) % 3
+        out[s[:at] + "-*_.x"[(seed + k) % 5] + s[at:]] += bag[u]
+    return out
 
 
 class Model:
-    """Landmarks, the weight of each, bias, and the logistic curve; remembers the values of units, in steps of 1/255."""
+    """Landmarks, the weights of the largest and of the mean value at each, bias, and the logistic curve; remembers the values of units, in steps of 1/255."""
 
     def __init__(self, landmarks: list[str], own: np.ndarray, weight: np.ndarray, bias: float, curve: tuple[float, float]):
         self.landmarks, self.own, self.weight, self.bias, self.curve = landmarks, own, weight, bias, curve
         self.known: dict[str, int] = {}
         self.values = np.zeros((0, len(landmarks)), np.uint8)
 
-    def lookup(self, bags: list[set[str]]) -> np.ndarray:
-        """The value of each text at each landmark."""
+    def lookup(self, bags: list[Counter[str]]) -> np.ndarray:
+        """The largest and the scaled mean value of each text at each landmark."""
         if len(self.known) > REMEMBERED:
             self.known, self.values = {}, self.values[:0]
         known = self.known
         new = list({u for b in bags for u in b}.difference(known))
         if new:
-            cut = [windows(u) for u in new]
-            value = similarities([w for c in cut for w in c], self.landmarks, self.own)
+            cut = [pieces(u) for u in new]
+            strings: dict[str, int] = {}
+            which = np.array([strings.setdefault(w, len(strings)) for c in cut for w in c], np.int64)
+            value = similarities(list(strings), self.landmarks, self.own)[which]
             first = np.cumsum([0, *map(len, cut)])[:-1]
             known.update(zip(new, range(len(self.values), len(self.values) + len(new))))
             self.values = np.concatenate([self.values, np.rint(np.maximum.reduceat(value, first) * 255).astype(np.uint8)])
-        out = np.zeros((len(bags), len(self.landmarks)), np.float32)
+        m = len(self.landmarks)
+        out = np.zeros((len(bags), 2 * m), np.float32)
         for i, b in enumerate(bags):
             if b:
-                out[i] = self.values[np.fromiter(map(known.__getitem__, b), np.int64, len(b))].max(axis=0)
+                values = self.values[np.fromiter(map(known.__getitem__, b), np.int64, len(b))]
+                often = np.fromiter(b.values(), np.float32, len(b))
+                out[i, :m] = values.max(axis=0)
+                out[i, m:] = np.float32(MEAN_SCALE) / often.sum() * (often @ values)
         return out / np.float32(255)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -220,15 +274,20 @@ def fit(texts: list[str], labels: np.ndarray, *, rounds: int = 3000, penalty: fl
     if len(set(labels.tolist())) < 2:
         return Model([], np.zeros(0, np.float32), np.zeros(0, np.float32), 0.0, (0.0, -60.0))
     bags = [units(t) for t in texts]
-    landmarks = chosen_landmarks(bags, labels)
-    toxic = tuple(landmarks[: len(landmarks) - OTHER_LANDMARKS])
-    bent = [x for i, (b, label) in enumerate(zip(bags, labels)) if label == 1 and (x := with_insertions(b, toxic, i))]
-    bags, labels = bags + bent, np.concatenate([labels, np.ones(len(bent), labels.dtype)])
+    toxic, plain = landmark_kinds(bags, labels)
+    toxic += [s for s in dense_landmarks(bags, labels) if s not in toxic]
+    landmarks = toxic + [s for s in plain if s not in toxic]
+    if not landmarks:  # too few texts to tell anything apart
+        return Model([], np.zeros(0, np.float32), np.zeros(0, np.float32), 0.0, (0.0, -60.0))
+    bent = [x for i, (b, label) in enumerate(zip(bags, labels)) if label == 1 and (x := with_insertions(b, tuple(toxic), i))]
+    nothing = [Counter() for _ in range(1 + len(bags) // 20)]
+    bags, labels = bags + bent + nothing, np.concatenate([labels, np.ones(len(bent), labels.dtype), np.zeros(len(nothing), labels.dtype)])
     own = own_kernel(as_codes(landmarks))
     k_mm = similarities(landmarks, landmarks, own).astype(np.float64)
-    values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2 + 1e-3 * np.eye(len(landmarks)))
+    values, vectors = np.linalg.eigh(k_mm + 1e-3 * np.eye(len(landmarks)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    raw = Model(landmarks, own, np.zeros(len(landmarks), np.float32), 0.0, (1.0, 0.0)).lookup(bags).astype(np.float64)
+    root = np.kron(np.eye(2), root)  # the same map for largest and mean values
+    raw = Model(landmarks, own, np.zeros(2 * len(landmarks), np.float32), 0.0, (1.0, 0.0)).lookup(bags).astype(np.float64)
     x = np.concatenate([raw @ root, np.ones((len(raw), 1))], axis=1)
     y = np.where(labels == 1, 1.0, -1.0)
     share = len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
@@ -265,7 +324,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return bounded_batches(docs.select(id_col, text_col)).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def judge_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 3, held_out_rest: int = 1, threshold: float = 0.7) -> DataFrame:

@@ -115,7 +115,7 @@ def auc(rows):
 
 @pytest.fixture(scope="module")
 def bigger(spark):
-    """A tenth of the labels are toxic. English insults are told; the toxic words of the other languages here are made of ordinary syllables, and half of them are missed, so the held-out AUC is about 0.91 (see the README)."""
+    """A tenth of the labels are toxic; about one label in twenty is wrong, in either direction, so no score reaches an AUC of 1 (see the README)."""
     return tuple(spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
 
 
@@ -155,11 +155,152 @@ def test_kernel_equals_enumeration():
         assert T.own_kernel(T.as_codes([a]))[0] == pytest.approx(brute(a, a), rel=1e-4, abs=1e-6)
 
 
+def test_toxic_texts_of_every_language(bigger):
+    """At the threshold, of held-out rows: recall in each language, and few texts labelled as clean."""
+    docs, labels = bigger
+    rows = T.judge_toxicity(docs, labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("en", "fr", "de", "es"):
+        toxic = [r.predicted for r in rows if r.lang == lang and r.toxic == 1]
+        assert sum(toxic) >= 0.85 * len(toxic) and len(toxic) > 10
+    clean = [r.predicted for r in rows if r.toxic == 0]
+    assert sum(clean) <= 0.01 * len(clean)
+
+
+def plain_kernel(a, b):
+    """All pairs of equal subsequences, one by one."""
+    from itertools import combinations
+
+    total = 0.0
+    for i in combinations(range(len(a)), T.ORDER):
+        for j in combinations(range(len(b)), T.ORDER):
+            if all(a[x] == b[y] for x, y in zip(i, j)):
+                total += T.DECAY ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
+    return total
+
+
+def plain_score(text, model):
+    """A text's score from the definition: tokens, their pieces, kernel values, largest and mean, margin, curve."""
+    import math
+
+    found, singles, tokens = (text or "").lower().split(), "", []
+    for w in [*found, "end"]:
+        singles = singles + w if len(w) == 1 else (tokens.append(singles) if len(singles) >= T.ORDER else None) or ""
+    tokens += found
+
+    def value(token, landmark):
+        while token and not token[0].isalnum():
+            token = token[1:]
+        while token and not token[-1].isalnum():
+            token = token[:-1]
+        assert len(token) <= T.WINDOW
+        best = 0.0
+        for piece in [token] + [token[:k] for k in range(4, T.PART + 1) if k < len(token)]:
+            if len(piece) >= T.ORDER and len(set(piece) & set(landmark)) >= min(T.ORDER, len(set(landmark))):
+                v = min(1.0, plain_kernel(piece, landmark) / math.sqrt(plain_kernel(piece, piece) * plain_kernel(landmark, landmark)))
+                best = max(best, math.exp((v - 1) / T.WIDTH))
+        return round(best * 255) / 255
+
+    m, margin = len(model.landmarks), model.bias
+    for j, landmark in enumerate(model.landmarks):
+        values = [value(t, landmark) for t in tokens]
+        if values:
+            margin += float(model.weight[j]) * max(values) + float(model.weight[m + j]) * T.MEAN_SCALE * sum(values) / len(values)
+    return 1 / (1 + math.exp(-max(-60, min(60, model.curve[0] * margin + model.curve[1]))))
+
+
+def test_toxicity_scores_equal_the_definition(rng):
+    words = ["the", "house", "tree", "water", "green", "seven", "walk", "light"]
+    insults = ["idiot", "stupido", "achlichung", "achlichten"]
+    texts = [" ".join([rng.choice(words) for _ in range(6)] + ([insults[i // 2 % 4]] if i % 2 else [])) for i in range(160)]
+    model = T.fit(texts, T.np.array([i % 2 for i in range(160)]))
+    asked = ["the house", "you idiot", "an id-iot, really!", "i d i o t here", "achlichung achlichung tree", "", None, "(Stupido) water?", "achlich und so"]
+    got = model.scores(asked)
+    assert [float(x) for x in got] == pytest.approx([plain_score(t, model) for t in asked], abs=5e-3)
+    assert min(got[1:5]) >= 0.7 and max(got[0], got[5], got[6]) < 0.3 and got[5] == got[6]
+
+
+def test_toxicity_of_few_or_alike_labels():
+    """Nothing to tell apart gives score 0; toxic landmarks alone, without ordinary ones, still learn disguises."""
+    none = T.fit(["a b", "c d"], T.np.array([1, 0]))
+    assert none.scores(["a b", None]).tolist() == pytest.approx([0, 0], abs=1e-12)
+    assert T.fit(["idiot"] * 9, T.np.array([1] * 9)).scores(["idiot"])[0] < 1e-12
+    texts = ["idiot one"] * 20 + [f"x{i} y" for i in range(20)]
+    model = T.fit(texts, T.np.array([1] * 20 + [0] * 20))
+    assert model.scores(["idi-otic"])[0] > model.scores(["nothing"])[0]
+
+
+def plain_quality(text, weight, bias):
+    """A text's score from the definition of its features, character by character."""
+    import math
+
+    m32, m64, buckets, words = 2**32, 2**64, [], []
+    mark = lambda c: 32 if ord(c) <= 32 else ord(c)
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % m64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % m64
+        return x ^ (x >> 31)
+
+    for i, c in enumerate(text):
+        if ord(c) > 32:
+            h = mark(c) * 0x9E3779B1 % m32
+            for k in range(1, 4):
+                h = (h * 0x01000193 + (mark(text[i + k]) if i + k < len(text) else 32) * 0x9E3779B1) % m32
+                buckets.append(((h ^ (h >> 15)) * (0x85EBCA77 + 2 * k) % m32) >> (32 - Q.BITS))
+            if i == 0 or ord(text[i - 1]) <= 32:
+                words.append([])
+            words[-1].append(c)
+    whole = [mix(sum(mix(ord(c) + (k << 32)) for k, c in enumerate(w)) % m64) for w in words]
+    buckets += [w >> (64 - Q.BITS) for w in whole]
+    buckets += [mix(((a ^ b) + 7) % m64) >> (64 - Q.BITS) for a, b in zip(whole, whole[1:])]
+    return 1 / (1 + math.exp(-(sum(float(weight[b]) for b in buckets) / max(1, len(buckets)) + bias)))
+
+
+def test_quality_scores_equal_the_definition(big):
+    docs, labels = big
+    weight, bias = Q.train(Q.labelled_sample(docs, labels, "quality", "doc_id", "text", 5, 0, Q.TRAIN_ROWS, Q.TRAIN_CHARS))
+    texts = [r.text for r in docs.limit(40).collect()] + ["", None, "a", " a  b\tb\n", "é😀 x"]
+    assert Q.scores(texts, weight, bias).tolist() == pytest.approx([plain_quality(t or "", weight, bias) for t in texts], rel=1e-5)
+    alone = [Q.scores([t], weight, bias)[0] for t in texts]
+    assert Q.scores(texts, weight, bias).tolist() == pytest.approx(alone, rel=1e-12)
+
+
+def test_quality_sample_is_bounded_by_bytes(big, spark):
+    docs, labels = big
+    sample = Q.labelled_sample(docs, labels, "quality", "doc_id", "text", 5, 0, Q.TRAIN_ROWS, Q.TRAIN_CHARS)
+    many = labels.unionByName(labels).unionByName(labels)
+    again = Q.labelled_sample(docs.unionByName(docs), many, "quality", "doc_id", "text", 5, 0, Q.TRAIN_ROWS, Q.TRAIN_CHARS)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, sample.collect()))
+    seen = []
+    real = Q.descend
+    try:
+        Q.descend = lambda rows, **how: seen.append(sum(8 * len(b) for _, b, _ in rows)) or real(rows[:2], epochs=1)
+        Q.train(sample)
+        Q.train(sample, train_bytes=seen[0] // 10)
+    finally:
+        Q.descend = real
+    assert 0 < seen[1] < seen[0] / 5
+
+
+def test_defined_scores(spark, big, awkward):
+    """Repeated rows, null and empty texts; without labels of both classes 0.5 (quality) and 0 (toxicity)."""
+    docs, labels = big
+    both = docs.select("doc_id", "text").unionByName(awkward.select("doc_id", "text").where("doc_id < 6").withColumn("doc_id", F.col("doc_id") + 10**9))
+    for judge, label, without in ((Q.judge_quality, "quality", 0.5), (T.judge_toxicity, "toxic", 0.0)):
+        got = {}
+        for r in judge(both, labels).where("doc_id > 1000000000").collect():
+            got.setdefault(r.doc_id - 10**9, set()).add((r.score, r.predicted))
+        assert all(len(x) == 1 for x in got.values()) and got[1] == got[2] and got[4] == got[5]
+        one = judge(both, labels.where(F.col(label) == 1)).agg(F.min("score"), F.max("score")).first()
+        assert one[0] == pytest.approx(without, abs=1e-9) and one[1] == pytest.approx(without, abs=1e-9)
+
+
 def test_gaps_and_insertions_raise_the_score(big):
     docs, labels = big
     model = T.train(Q.labelled_sample(docs, labels, "toxic", "doc_id", "text", 3, 1, T.TRAIN_ROWS, T.TRAIN_CHARS))
     plain, whole, spaced, inserted = model.scores(["the and of with", "the idiot of with", "the i d i o t of", "the idi-ot of"])
     assert whole > 2 * plain and spaced > 2 * plain and inserted > plain
+    assert min(whole, spaced, inserted) >= 0.7 > plain
 
 
 def test_units_and_windows():
