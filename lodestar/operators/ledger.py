@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.constants import CARD_EXTENSIONS, CATEGORIES, CATEGORY_RULES, EXCLUDED_MERCHANTS, GRAND_TOTAL, PERSONAL_CARDS, SUBTOTAL_SUFFIX, TRANSACTION_KEYS
 from lodestar.functions.text import extension
-from lodestar.storage import small_enough
+from lodestar.operators.ordering import numbered
+from lodestar.storage import written
 
-#: Rules up to which their table is broadcast.
+#: Rules that are broadcast at a time.
 MAX_RULES = 10_000
 KEY = ["month_tab", "card", "day", "merchant", "amount"]
 
@@ -42,11 +43,20 @@ def reclassify(merchant: Column, category: Column, rules=CATEGORY_RULES) -> Colu
 
 
 def reclassify_by_table(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same with rules (rule_no, keyword, category) in a table: matches per row are pre-aggregated to the first rule."""
-    keyed = rows.withColumn("_row", F.struct("month_tab", "idx"))
+    """The same with rules (rule_no, keyword, category) in a table.
+
+    Merchants are made distinct, and the rules meet them in blocks of about MAX_RULES, each broadcast; the
+    first rule of each merchant is an aggregate, joined back by the merchant.
+    """
     table = rules.select("rule_no", "keyword", F.col("category").alias("_rule_category"))
-    hit = keyed.join(F.broadcast(table) if small_enough(table, MAX_RULES) else table, F.contains("merchant", "keyword")).groupBy("_row").agg(F.min_by("_rule_category", "rule_no").alias("_new"))
-    return keyed.join(hit, "_row", "left").withColumn("category", F.coalesce("_new", "category")).drop("_row", "_new")
+    n = max(1, -(-table.count() // MAX_RULES))
+    merchants = rows.select("merchant").distinct()
+    if n > 1:
+        table, merchants = written(table, "rules"), written(merchants, "merchants")
+    blocks = [table.where(F.pmod(F.xxhash64("rule_no", "keyword"), F.lit(n)) == k) if n > 1 else table for k in range(n)]
+    hit = reduce(DataFrame.unionByName, [merchants.join(F.broadcast(b), F.contains("merchant", "keyword")) for b in blocks])
+    first = hit.groupBy(F.col("merchant").alias("_merchant")).agg(F.min_by("_rule_category", "rule_no").alias("_new"))
+    return rows.join(first, F.col("merchant") == F.col("_merchant"), "left").withColumn("category", F.coalesce("_new", "category")).drop("_merchant", "_new")
 
 
 def shape_error(item: str, keys: list[str] = TRANSACTION_KEYS) -> Column:
@@ -106,10 +116,10 @@ def require_valid(replies: DataFrame, batch_cols: list[str], json_col: str = "js
 def new_rows(candidates: DataFrame, existing: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Candidates that the ledger does not hold yet, the first of those that repeat in the batch. Keys match null-safely, within a month.
 
-    One shuffle of the candidates: the window and the anti-join are partitioned by the same key.
+    The first of a key is an aggregate, so a row that repeats very often leaves each task once.
     """
-    w = Window.partitionBy(*key).orderBy("idx")
-    first = candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    rest = [c for c in candidates.columns if c not in key]
+    first = candidates.groupBy(*key).agg(F.min_by(F.struct(*rest), "idx").alias("_r")).select(*key, "_r.*").select(*candidates.columns)
     held = existing.select(*[F.col(k).alias(f"_h_{k}") for k in key])
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in key])
     return first.join(held, on, "left_anti")
@@ -134,22 +144,21 @@ def grand_totals(rows: DataFrame, by: list[str], personal: list[str] = PERSONAL_
 def month_report(rows: DataFrame, personal: list[str] = PERSONAL_CARDS) -> DataFrame:
     """Details, a subtotal after each card in order of first appearance, and the grand total, with `level` (detail, subtotal, total) and `line`, per month.
 
-    One pass of grouping sets over each month; details keep their values as their groups have one row.
+    One pass of grouping sets; details keep their values as their groups have one row. Lines are numbered
+    by range, so a month of any size is spread over tasks.
     """
-    rows = rows.withColumn("ord", F.min("idx").over(Window.partitionBy("month_tab", "card")))
-    rows.createOrReplaceTempView(view := "_lodestar_report_rows")
-    names = ", ".join("'" + c.replace("'", "''") + "'" for c in personal) or "NULL"
-    sets = rows.sparkSession.sql(f"""
-        SELECT month_tab, card, ord, idx, day, merchant, category, sum(amount) AS total,
-               sum(CASE WHEN coalesce(card NOT IN ({names}), true) THEN amount END) AS shared,
-               grouping(card) AS g_card, grouping(idx) AS g_idx
-        FROM {view}
-        GROUP BY GROUPING SETS ((month_tab, ord, card, idx, day, merchant, category), (month_tab, ord, card), (month_tab))""")
+    first = rows.groupBy("month_tab", "card").agg(F.min("idx").alias("ord"))
+    same = F.col("month_tab").eqNullSafe(F.col("_m")) & F.col("card").eqNullSafe(F.col("_c"))
+    rows = rows.join(first.select(F.col("month_tab").alias("_m"), F.col("card").alias("_c"), "ord"), same)
+    c, shared = F.col, F.coalesce(~F.col("card").isin(*personal), F.lit(True)) if personal else F.lit(True)
+    month, card, ord_, idx, day, merchant, category = (c(x) for x in ("month_tab", "card", "ord", "idx", "day", "merchant", "category"))
+    sets = rows.groupingSets([(month, ord_, card, idx, day, merchant, category), (month, ord_, card), (month,)], month, ord_, card, idx, day, merchant, category)
+    sets = sets.agg(F.sum("amount").alias("total"), F.sum(F.when(shared, F.col("amount"))).alias("shared"), F.grouping("card").alias("g_card"), F.grouping("idx").alias("g_idx"))
     level = F.when(F.col("g_card") == 1, F.lit("total")).when(F.col("g_idx") == 1, F.lit("subtotal")).otherwise(F.lit("detail"))
     label = F.when(F.col("g_card") == 1, F.lit(GRAND_TOTAL)).when(F.col("g_idx") == 1, F.concat("card", F.lit(SUBTOTAL_SUFFIX))).otherwise(F.col("card"))
     amount = F.when(F.col("g_card") == 1, F.coalesce("shared", F.lit(0))).otherwise(F.col("total"))
-    line = F.row_number().over(Window.partitionBy("month_tab").orderBy("g_card", "ord", "g_idx", "idx"))
-    return sets.select("month_tab", line.alias("line"), level.alias("level"), label.alias("label"), "day", "merchant", amount.alias("amount"), "category")
+    lines = numbered(sets, ["month_tab"], ["g_card", "ord", "g_idx", "idx"], "line")
+    return lines.select("month_tab", "line", level.alias("level"), label.alias("label"), "day", "merchant", amount.alias("amount"), "category")
 
 
 def category_summary(rows: DataFrame, by: list[str], categories: list[str] = CATEGORIES, personal: list[str] = PERSONAL_CARDS) -> DataFrame:

@@ -54,3 +54,57 @@ def test_month_overwrite_leaves_other_months(spark, tmp_path):
     sinks.append_ledger(make((1, "202601"), (2, "202602")), path)
     sinks.overwrite_months(make((9, "202602")), path)
     assert sorted((r.v, str(r.month_tab)) for r in spark.read.parquet(path).collect()) == [(1, "202601"), (9, "202602")]
+
+
+def state(spark, root):
+    """Ledger, totals, subtotals, counts and failures, as sets of rows with how often each occurs."""
+    from collections import Counter
+
+    out = {}
+    for name in ("ledger", "totals", "subtotals", "counts", "failed"):
+        df = spark.read.parquet(f"{root}/{name}")
+        out[name] = Counter(tuple(str(v) for v in r) for r in df.select(*sorted(df.columns)).collect())
+    return out
+
+
+def test_a_batch_that_fails_after_any_write_is_replayed(spark, tmp_path, monkeypatch):
+    """Whatever was written before the failure, the replay ends as an undisturbed run does."""
+    first = [("BC", "a_20260105.pdf", reply(("2026-01-05", "GS25", 1000, "식비"), ("2026-02-01", "x", 2, "기타")))]
+    second = [("BC", "a_20260105.pdf", reply(("2026-01-05", "GS25", 1000, "식비"), ("2026-01-07", "y", 3, "기타"))), ("현대카드", "b_202602.html", reply(("2026-02-06", "m", 500, "쇼핑"))), ("BC", "c_202601.html", '{"transactions":[5]}')]
+    frame = lambda rows: spark.createDataFrame(rows, R.REPLY)
+    writers = ("append_ledger", "overwrite_months", "dead_letters", "overwrite_parts")
+    real = {w: getattr(R, w) for w in writers}
+
+    def run(root, broken=None):
+        R.update(frame(first), root, 0)
+        done = [0]
+
+        def wrapped(write):
+            def call(*args, **how):
+                write(*args, **how)
+                done[0] += 1
+                if done[0] == broken:
+                    raise RuntimeError("lost")
+
+            return call
+
+        if broken:
+            for w in writers:
+                monkeypatch.setattr(R, w, wrapped(real[w]))
+            try:
+                R.update(frame(second), root, 1)
+                raise AssertionError("did not fail")
+            except RuntimeError:
+                pass
+            for w in writers:
+                monkeypatch.setattr(R, w, real[w])
+        R.update(frame(second), root, 1)
+        return state(spark, root)
+
+    expected = run(str(tmp_path / "undisturbed"))
+    assert len(expected["failed"]) == 1 and sum(expected["ledger"].values()) == 4
+    for n in range(1, 6):
+        assert run(str(tmp_path / f"broken{n}"), n) == expected
+    R.update(frame(second), str(tmp_path / "undisturbed"), 2)
+    again = state(spark, str(tmp_path / "undisturbed"))
+    assert again["ledger"] == expected["ledger"] and again["totals"] == expected["totals"]
