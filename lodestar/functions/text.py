@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestar.constants import DEFAULT_TAB
+from lodestar.constants import CAMEL_PIECES, DEFAULT_TAB, MONTH, PAGER, TOKEN_RUNS
 
-RUNS, CAMEL = "[A-Za-z0-9]+|[가-힣]+", "[A-Z]+(?=[A-Z]|$)|[A-Z]?[a-z]+|[0-9]+"
+#: ASCII runs that are one token: a word with at most its first letter in upper case, digits.
+ONE_TOKEN = "^(?:[A-Z]?[a-z]+|[0-9]+)$"
 EPOCH = "1899-12-30"
 
 
@@ -17,7 +18,7 @@ def empty_strings() -> Column:
 
 def camel_parts(run: Column) -> Column:
     """The lower-case camel pieces of one ASCII run. Capitals right before a digit vanish."""
-    return F.transform(F.regexp_extract_all(run, F.lit(CAMEL), F.lit(0)), lambda p: F.lower(p))
+    return F.transform(F.regexp_extract_all(run, F.lit(CAMEL_PIECES), F.lit(0)), lambda p: F.lower(p))
 
 
 def bigrams(run: Column) -> Column:
@@ -31,15 +32,15 @@ def tokenize(text: Column) -> Column:
     def of_run(run: Column) -> Column:
         low = F.lower(run)
         ascii_run = F.concat(F.array(low), F.filter(camel_parts(run), lambda p: p != low))
-        return F.when(F.rlike(run, F.lit("^[A-Za-z0-9]+$")), ascii_run).otherwise(F.concat(F.array(run), bigrams(run)))
+        other = F.when(F.rlike(run, F.lit("^[A-Za-z0-9]+$")), ascii_run).otherwise(F.concat(F.array(run), bigrams(run)))
+        return F.when(F.rlike(run, F.lit(ONE_TOKEN)), F.array(low)).otherwise(other)
 
-    return F.coalesce(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(RUNS), F.lit(0)), of_run)), empty_strings())
+    return F.coalesce(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TOKEN_RUNS), F.lit(0)), of_run)), empty_strings())
 
 
 def month_tab(filename: Column, default: str = DEFAULT_TAB) -> Column:
     """YYYYMM of the leftmost date in a file name that no other digits touch."""
-    at = r"(?<!\d)(20\d{2})(0[1-9]|1[0-2])(?:\d{2})?(?!\d)"
-    return F.coalesce(F.nullif(F.concat(F.regexp_extract(filename, at, 1), F.regexp_extract(filename, at, 2)), F.lit("")), F.lit(default))
+    return F.coalesce(F.nullif(F.concat(F.regexp_extract(filename, MONTH, 1), F.regexp_extract(filename, MONTH, 2)), F.lit("")), F.lit(default))
 
 
 def to_amount(value: Column) -> Column:
@@ -92,8 +93,18 @@ def doc_line(doc: Column) -> Column:
 
 
 def comment_text(line: Column) -> Column:
-    """A leading comment without its marks."""
-    return F.substring(F.trim(F.regexp_replace(line, r"^[/* ]+|[/* ]+$", "")), 1, 200)
+    """A comment line without the marks that lead it; marks at its end stay."""
+    return F.substring(stripped(F.regexp_replace(stripped(line), "^[/* ]+", "")), 1, 200)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def source_lines(source: Column) -> Column:
+    """The lines of a text file; the end of its last line begins no other."""
+    return F.when(source == "", empty_strings()).otherwise(F.split(F.regexp_replace(source, r"\n\z", ""), "\n", -1))
 
 
 def first_lines(text: Column, n: int = 40) -> Column:
@@ -104,8 +115,7 @@ def first_lines(text: Column, n: int = 40) -> Column:
 
 def page_position(text: Column) -> Column:
     """struct(page, pages) of a pager's text, both null without one."""
-    at = r"현재페이지\s*(\d+)\s*/\s*전체페이지\s*(\d+)"
-    number = lambda k: F.nullif(F.regexp_extract(text, at, k), F.lit("")).cast("int")
+    number = lambda k: F.nullif(F.regexp_extract(text, PAGER, k), F.lit("")).cast("int")
     return F.struct(number(1).alias("page"), number(2).alias("pages"))
 
 
@@ -131,10 +141,25 @@ def bm25_weight(tf: Column, length: Column, average: Column, k1: float, b: float
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
 
+ENCODED_WORD = r"=\?(?i:utf-8)\?[bBqQ]\?[^?]*\?="
+
+
 def mime_filename(name: Column) -> Column:
-    """A mail header's file name: base64 words in UTF-8 decoded and joined, other names as they are."""
-    words = F.regexp_extract_all(name, F.lit(r"=\?(?i:utf-8)\?[bB]\?([^?]*)\?="), F.lit(1))
-    return F.when(F.size(words) > 0, F.array_join(F.transform(words, lambda w: F.try_to_binary(w, F.lit("base64")).cast("string")), "")).otherwise(name)
+    """A mail header's file name: words in UTF-8, base64 or quoted, decoded; the blanks between two of them dropped, other text kept as it is."""
+
+    def decoded(word: Column) -> Column:
+        body = F.regexp_extract(word, r"\?[bBqQ]\?([^?]*)\?=$", 1)
+        escaped = body  # quoted words are written like queries of a url, with other marks
+        for mark, code in (("%", "%25"), ("+", "%2B"), ("=", "%"), ("_", "%20")):
+            escaped = F.replace(escaped, F.lit(mark), F.lit(code))
+        base64 = F.rlike(word, F.lit(r"^=\?(?i:utf-8)\?[bB]"))
+        return F.when(base64, F.try_to_binary(body, F.lit("base64")).cast("string")).otherwise(F.try_url_decode(escaped))
+
+    joined = F.regexp_replace(name, rf"({ENCODED_WORD})\s+(?={ENCODED_WORD})", "$1")
+    words = F.regexp_extract_all(joined, F.lit(ENCODED_WORD), F.lit(0))
+    between = F.split(joined, ENCODED_WORD, -1)
+    pieces = F.zip_with(between, words, lambda text, word: F.concat(text, F.coalesce(decoded(word), F.lit(""))))
+    return F.when(F.size(words) > 0, F.array_join(pieces, "")).otherwise(name)
 
 
 #: Characters two columns wide on a terminal: Hangul, kana, ideographs and full-width forms.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -71,14 +72,17 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = PAGERANK_DAMPING, rounds: int = PAGERANK_ROUNDS) -> DataFrame:
     """(id, pagerank): a fixed number of rounds over internal calls, dangling mass spread evenly, divided by the largest.
 
-    Links with their source's out-degree are written once. A round is one job: a join, an aggregate and a
-    written table, which observes the dangling mass for the next round on the way. So a round's plan never
-    holds another's, and a lost executor costs one round.
+    Links with their source's out-degree are written once and kept dealt by source, so a round moves ranks
+    and sums, not links. A round is one job: a join, an aggregate and a written table, which observes the
+    dangling mass for the next round on the way. So a round's plan never holds another's, and a lost
+    executor costs one round and its share of the links, which are read again.
     """
+    spark = nodes.sparkSession
     inside = nodes.where("kind <> 'external'").select("id")
     links = internal_edges(edges.where("type = 'CALLS'"), nodes).select("src", "dst").distinct()
     degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     links = written(links.join(degree, "src").select("src", "dst", "out"), "pagerank-links")
+    links = links.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").persist(StorageLevel.MEMORY_AND_DISK)
     base = written(inside.join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("ends")), "pagerank-nodes")
     n, ending = base.agg(F.count(F.lit(1)), F.count_if("ends")).first()
     if n == 0:
@@ -90,6 +94,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = PAGERANK_DA
         now = base.join(share, "id", "left").select("id", "ends", (F.lit((1 - damping) / n + damping * dangling / n) + damping * F.coalesce("s", F.lit(0.0))).alias("r"))
         ranks = written(now.observe(seen, F.sum(F.when(F.col("ends"), F.col("r"))).alias("dangling")), "pagerank-ranks")
         dangling = seen.get["dangling"] or 0.0
+    links.unpersist()
     return ranks.select("id", (F.col("r") / ranks.agg(F.max("r").alias("m")).scalar()).alias("pagerank"))
 
 
@@ -155,7 +160,8 @@ class GraphSearcher:
         if "seeds" in how:
             how["seeds_n"] = how.pop("seeds")
         hits = self.search_many(spark.createDataFrame([(0, query)], "qid int, query string"), **how)
-        meta = F.struct("name", "qualname", "kind", "file", "start_line", "end_line").alias("metadata")
+        shown = ("name", "qualname", "kind", "file", "start_line", "end_line", "signature", "docstring", "calls_out", "called_by")
+        meta = F.struct(*[c for c in shown if c in self.nodes.columns]).alias("metadata")
         return hits.join(self.nodes.select("id", meta, "text"), "id").drop("qid").orderBy("rank")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestar.constants import BM25_B, BM25_K1
 from lodestar.functions.text import bm25_weight, idf, tokenize
-from lodestar.storage import small_enough
+from lodestar.storage import small_enough, written
 
 #: Query terms up to which the terms are broadcast; beyond, the join is left to the optimizer.
 BROADCAST_TERMS = 100_000
@@ -42,18 +43,21 @@ def query_terms(queries: DataFrame, query_col: str = "query") -> DataFrame:
 def bm25_scores(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(qid, id, score) of all documents with a score above 0.
 
-    Documents are tokenized in place; only tokens that some query holds are exploded and shuffled, and
-    these are counted per document before. Corpus statistics need no tokens beyond their number.
+    Documents are tokenized once, in place; only tokens that some query holds are exploded and shuffled, and
+    these are counted per document before. The counts are written, and the same pass observes the number
+    of documents and of their tokens, so nothing after it reads a text.
     """
-    terms = document_terms(docs, id_col, text_col)
-    wanted = query_terms(queries, query_col)
+    wanted = written(query_terms(queries, query_col), "query-terms")
     words = wanted.select("term").distinct()
-    found = terms.select("id", "len", F.explode("tokens").alias("term")).join(F.broadcast(words) if small_enough(words, BROADCAST_TERMS) else words, "term", "left_semi")
-    tf = found.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = document_frequency(tf)
-    stats = corpus_statistics(terms)
-    scored = tf.join(df, "term").join(wanted, "term").withColumns({"n_docs": stats.select("n_docs").scalar(), "avgdl": stats.select("avgdl").scalar()})
-    weight = F.col("qtf") * idf(F.col("n_docs"), F.col("df")) * bm25_weight(F.col("tf"), F.col("len"), F.col("avgdl"), k1, b)
+    seen = Observation()
+    terms = document_terms(docs, id_col, text_col).observe(seen, F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("total"))
+    found = terms.select("id", "len", F.explode_outer("tokens").alias("term")).join(F.broadcast(words) if small_enough(words, BROADCAST_TERMS) else words, "term", "left_semi")
+    tf = written(found.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+    if tf.isEmpty():  # an empty result has no plan left that could have observed anything
+        return docs.sparkSession.createDataFrame([], StructType([StructField("qid", queries.schema["qid"].dataType), StructField("id", docs.schema[id_col].dataType), StructField("score", DoubleType())]))
+    n_docs, total = seen.get["n_docs"], seen.get["total"] or 0
+    scored = tf.join(document_frequency(tf), "term").join(wanted, "term")
+    weight = F.col("qtf") * idf(F.lit(n_docs), F.col("df")) * bm25_weight(F.col("tf"), F.col("len"), F.lit(total / max(1, n_docs)), k1, b)
     return scored.groupBy("qid", "id").agg(F.sum(weight).alias("score")).where("score > 0")
 
 
