@@ -11,10 +11,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.constants import CATEGORIES, TRANSACTION_KEYS
+from lodestar.constants import CATEGORIES, INSTRUCTION, TRANSACTION_KEYS
 
 Extractor = Callable[[str, str], str]
 LINE = re.compile(r"^\s*(\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{2})[\t|,]\s*(.+?)\s*[\t|,]\s*(-?[\d,]+)\s*원?\s*(?:[\t|]\s*(\S+))?\s*$")
@@ -29,8 +29,8 @@ def line_extractor(card: str, text: str) -> str:
 
 
 def prompt(card: str) -> str:
-    """What an engine is asked."""
-    return f"Read the statement of {card}. Reply with JSON: transactions, each with {', '.join(TRANSACTION_KEYS)}. Categories: {', '.join(CATEGORIES)}. Refunds are negative."
+    """What an engine is asked about a card's statement: the rules of what counts, and the categories to choose from."""
+    return INSTRUCTION.format(card=card, categories=", ".join(CATEGORIES))
 
 
 def well_formed(reply: str) -> bool:
@@ -52,6 +52,11 @@ def with_retry(engine: Extractor, card: str, text: str, attempts: int = ATTEMPTS
     raise ValueError(f"no well-formed reply in {attempts} attempts: {last[:80]}")
 
 
+def statement_head(text: Column) -> Column:
+    """What of a statement goes to an engine: its first MAX_CHARS characters."""
+    return F.substring(text, 1, MAX_CHARS)
+
+
 def extract(files: DataFrame, engine: Extractor = line_extractor) -> DataFrame:
     """(card, filename, text) to (card, filename, json, error): a file that fails does not fail the others."""
 
@@ -65,7 +70,7 @@ def extract(files: DataFrame, engine: Extractor = line_extractor) -> DataFrame:
                     rows.append((card, filename, None, str(e)))
             yield pd.DataFrame(rows, columns=["card", "filename", "json", "error"])
 
-    return files.select("card", "filename", F.substring("text", 1, MAX_CHARS).alias("text")).mapInPandas(run, "card string, filename string, json string, error string")
+    return files.select("card", "filename", statement_head(F.col("text")).alias("text")).mapInPandas(run, "card string, filename string, json string, error string")
 
 
 def process(files: DataFrame, root: str, engine: Extractor = line_extractor, batch_id: int = 0) -> DataFrame:

@@ -180,11 +180,11 @@ def w7(spark, sf):
     return lines.select("doc_id", (F.col("at") + 1).alias("line_no"), above.alias("above"))
 
 
-SCRIPTS = """scripts AS (SELECT c_custkey AS f, 'function a' || (c_custkey % 3) || '(x, y) {' || chr(10) || '  b' || (c_custkey % 2) || ' (x);' || chr(10) || '}' || chr(10) || '// note ' || c_custkey || chr(10) || 'const b0 = (z) => {' || chr(10) || '  return a1(z);' || chr(10) || '}' AS source FROM customer WHERE c_custkey < 300)"""
+SCRIPTS = """scripts AS (SELECT c_custkey AS f, 'function a' || (c_custkey % 3) || '(x, y) {' || chr(10) || '  b' || (c_custkey % 2) || ' (x);' || chr(10) || '}' || chr(10) || '// note ' || c_custkey || chr(10) || 'const b0 = (z) => {' || chr(10) || '  return a1(z);' || chr(10) || '}' AS source FROM customer)"""
 
 
 def scripts(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey < 300")
+    c = table(spark, sf, "customer")
     text = F.concat(F.lit("function a"), F.col("c_custkey") % 3, F.lit("(x, y) {\n  b"), F.col("c_custkey") % 2, F.lit(" (x);\n}\n// note "), "c_custkey", F.lit("\nconst b0 = (z) => {\n  return a1(z);\n}"))
     return c.select(F.col("c_custkey").cast("string").alias("file"), text.alias("source"))
 
@@ -205,31 +205,73 @@ def j13(spark, sf):
 
 def sources(spark, sf):
     """Python sources made from the customers, one file per nation."""
-    c = table(spark, sf, "customer").where("c_custkey < 400")
+    c = table(spark, sf, "customer")
     body = F.concat(F.lit("def f"), "c_custkey", F.lit("(a, b=1):\n    \"\"\"doc "), "c_custkey", F.lit("\"\"\"\n    return f"), (F.col("c_custkey") + 25), F.lit("(a)\n"))
     files = c.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", body.alias("b")))), lambda x: x["b"]), "").alias("source"))
     return files.select(F.concat(F.lit("n"), "c_nationkey", F.lit(".py")).alias("file"), "source")
 
 
-FUNCTIONS = "fs AS (SELECT c_custkey AS k, c_nationkey AS n, 3 * (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) + 1 AS line FROM customer WHERE c_custkey < 400)"
+BODY = "'def f' || k || '(a, b=1):' || chr(10) || '    \"\"\"doc ' || k || '\"\"\"' || chr(10) || '    return f' || (k + 25) || '(a)'"
+FUNCTIONS = "fs AS (SELECT c_custkey AS k, c_nationkey AS n, 3 * (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) + 1 AS line FROM customer)"
 
 
-@query("p1_chunks", f"WITH {FUNCTIONS} SELECT 'n' || n || '.py::f' || k || '::' || line AS id, CAST(3 AS INT) AS n_lines, 'doc ' || k AS docstring FROM fs")
+@query("p1_chunks", f"WITH {FUNCTIONS} SELECT 'n' || n || '.py::f' || k || '::' || line AS id, CAST(3 AS INT) AS n_lines, 'doc ' || k AS docstring, {BODY} || chr(10) AS text FROM fs")
 def p1(spark, sf):
     from lodestar.operators.symbols import chunks
 
-    return chunks(sources(spark, sf)).select("id", "metadata.n_lines", "metadata.docstring")
+    return chunks(sources(spark, sf)).select("id", "metadata.n_lines", "metadata.docstring", "text")
 
 
-@query("p2_u2_python_graph", f"WITH {FUNCTIONS}, nodes AS (SELECT 'n' || n || '.py::<module>' AS src, 'n' || n || '.py::f' || k AS dst, 'CONTAINS' AS type, false AS external FROM fs UNION ALL SELECT 'n' || a.n || '.py::f' || a.k, coalesce('n' || a.n || '.py::f' || b.k, '?f' || (a.k + 25)), CASE WHEN b.k IS NULL THEN 'CALLS_EXT' ELSE 'CALLS' END, b.k IS NULL FROM fs a LEFT JOIN fs b ON a.n = b.n AND b.k = a.k + 25) SELECT * FROM nodes")
+@query("p2_python_edges", f"WITH {FUNCTIONS}, nodes AS (SELECT 'n' || n || '.py::<module>' AS src, 'n' || n || '.py::f' || k AS dst, 'CONTAINS' AS type, false AS external FROM fs UNION ALL SELECT 'n' || a.n || '.py::f' || a.k, coalesce('n' || a.n || '.py::f' || b.k, '?f' || (a.k + 25)), CASE WHEN b.k IS NULL THEN 'CALLS_EXT' ELSE 'CALLS' END, b.k IS NULL FROM fs a LEFT JOIN fs b ON a.n = b.n AND b.k = a.k + 25) SELECT * FROM nodes")
 def p2(spark, sf):
     from lodestar.operators.symbols import python_graph
 
     return python_graph(sources(spark, sf))[1].select("src", "dst", "type", "external")
 
 
-@query("t6_export_order", f"WITH {V.GRAPH} SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN file = '' THEN '~' ELSE file END, node_pos, id) AS INT) AS place FROM nodes ORDER BY place LIMIT 100")
+MODULES = "mods AS (SELECT 'n' || n || '.py' AS file, count(*) AS n_functions FROM fs GROUP BY n)"
+
+
+@query("p2_x18_x20_u6_python_nodes", f"""WITH {FUNCTIONS}, {MODULES} SELECT 'n' || n || '.py::f' || k AS id, 'f' || k AS name, 'function' AS kind, CAST(line AS INT) AS start_line, CAST(line + 2 AS INT) AS end_line, 'f' || k || '(a, b=1)' AS signature, 'doc ' || k AS docstring, {BODY} AS text, 'python' AS lang, false AS external FROM fs
+  UNION ALL SELECT file || '::<module>', file, 'module', 1, 1, '', '', '', 'python', false FROM mods
+  UNION ALL SELECT DISTINCT '?f' || (a.k + 25), 'f' || (a.k + 25), 'external', NULL, NULL, NULL, NULL, NULL, NULL, true FROM fs a WHERE NOT EXISTS (SELECT 1 FROM fs b WHERE a.n = b.n AND b.k = a.k + 25)""")
+def p2_nodes(spark, sf):
+    from lodestar.operators.symbols import python_graph
+
+    return python_graph(sources(spark, sf))[0].select("id", "name", "kind", "start_line", "end_line", "signature", "docstring", "text", "lang", "external")
+
+
+SIGNED = ["a, b=-1, *c, d=(1, 2), e, **f", "p, /, q={{'k': [1]}}, *, r=None", "x: int = 0, y: str = 'é', z=len", "self"]
+SHOWN = ["a, b=-1, *c, d=(1, 2), e, **f", "p, q={'k': [1]}, *, r=None", "x=0, y='é', z=…", "self"]
+
+
+@query("x18_x20_signatures_imports", "SELECT c_custkey, 'g' || c_custkey || '(' || [" + ", ".join("'" + x.replace("'", "''") + "'" for x in SHOWN) + "][c_custkey % 4 + 1] || ')' AS signature, ['os.path', '..pkg.name', 'json.loads', '..mod'][c_custkey % 4 + 1] AS imported FROM customer")
+def x18(spark, sf):
+    """A signature and an import per customer, each in a file of its own."""
+    from lodestar.operators.symbols import python_symbols
+
+    k = (F.col("c_custkey") % 4 + 1).cast("int")
+    head = F.element_at(F.array(*[F.lit(x.replace("{{", "{").replace("}}", "}")) for x in SIGNED]), k)
+    bring = F.element_at(F.array(*[F.lit(x) for x in ("import os.path", "from ..pkg import name", "from json import loads", "from . import mod")]), k)
+    text = F.concat(bring, F.lit("\ndef g"), "c_custkey", F.lit("("), head, F.lit("): pass\n"))
+    rows = python_symbols(table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("file"), text.alias("source")))
+    return rows.groupBy(F.col("file").cast("bigint").alias("c_custkey")).agg(F.max(F.when(F.col("kind") == "function", F.col("signature"))).alias("signature"), F.max(F.when(F.col("row") == "import", F.col("target"))).alias("imported"))
+
+
+@query("u2_graph_union", f"""WITH {FUNCTIONS}, {MODULES}, {SCRIPTS} SELECT lang, kind, count(*) AS n FROM (SELECT 'python' AS lang, 'function' AS kind FROM fs UNION ALL SELECT 'python', 'module' FROM mods
+  UNION ALL SELECT 'javascript', unnest(['module', 'function', 'function']) FROM scripts) GROUP BY ALL""")
+def u2(spark, sf):
+    """Python and JavaScript graphs as one, without what lies outside."""
+    from lodestar.operators.symbols import js_graph, python_graph, united
+
+    nodes, _ = united(python_graph(sources(spark, sf)), js_graph(scripts(spark, sf)))
+    return nodes.where("kind <> 'external'").groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("t6_export_order", f"WITH {V.GRAPH} SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN file = '' THEN '~' ELSE file END, node_pos, id) AS INT) AS place FROM nodes")
 def t6(spark, sf):
-    nodes = V.graph(spark, sf)[0]
-    first = nodes.orderBy(F.coalesce(F.nullif("file", F.lit("")), F.lit("~")), "node_pos", "id").limit(100)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(F.coalesce(F.nullif("file", F.lit("")), F.lit("~")), "node_pos", "id"))).select("id", "place")
+    """The place of every node: a full sort, by ranges."""
+    from lodestar.operators.symbols import placed
+
+    nodes = V.graph(spark, sf)[0].withColumn("file", F.nullif("file", F.lit(""))).withColumn("start_line", F.col("node_pos"))
+    return placed(nodes, "place").select("id", "place")

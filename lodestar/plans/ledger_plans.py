@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestar.extract import statement_head
 from lodestar.functions import text as X
 from lodestar.operators import ledger as L
 from lodestar.sources import files as S
@@ -25,14 +26,14 @@ def kept(spark, sf):
 
 
 def replayed(spark, sf):
-    """The ledger's rows up to a month, and a batch that brings this month again, two new ones, and the rows of the last of these twice."""
+    """The ledger's rows up to a month, and a batch that brings this month again, all later ones, and the rows of one of these twice."""
     rows = kept(spark, sf)
-    batch = rows.where(F.col("month_tab").between(V.REPLAYED, "199905"))
+    batch = rows.where(F.col("month_tab") >= V.REPLAYED)
     return rows.where(F.col("month_tab") <= V.REPLAYED), batch.unionByName(batch.where(F.col("month_tab") == "199905").withColumn("idx", F.concat("idx", F.lit("b"))))
 
 
 REPLAY = V.KEPT + f""", existing AS (SELECT * FROM kept WHERE month_tab <= '{V.REPLAYED}'),
-batch AS (SELECT * FROM kept WHERE month_tab BETWEEN '{V.REPLAYED}' AND '199905' UNION ALL SELECT * REPLACE (idx || 'b' AS idx) FROM kept WHERE month_tab = '199905'),
+batch AS (SELECT * FROM kept WHERE month_tab >= '{V.REPLAYED}' UNION ALL SELECT * REPLACE (idx || 'b' AS idx) FROM kept WHERE month_tab = '199905'),
 added AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY month_tab, card, day, merchant, amount ORDER BY idx) AS n FROM batch) b
   WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM existing e WHERE e.month_tab = b.month_tab AND e.card = b.card AND e.day = b.day AND e.merchant = b.merchant AND e.amount = b.amount))"""
 
@@ -69,16 +70,15 @@ def f5(spark, sf):
     return classified(spark, sf).groupBy("month_tab", "category").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
 
 
-@query("f5_reclassify_table", f"WITH {V.CLASSIFIED} SELECT idx, merchant, amount, category FROM classified WHERE month_tab = '{V.REPLAYED}'")
+@query("f5_reclassify_table", f"WITH {V.CLASSIFIED} SELECT idx, merchant, amount, category FROM classified")
 def f5_table(spark, sf):
     rules = spark.createDataFrame([(i, k, c) for i, (ks, c) in enumerate(V.RULES) for k in ks], "rule_no int, keyword string, category string")
-    rows = V.ledger(spark, sf).where(F.col("month_tab") == V.REPLAYED)
-    return L.reclassify_by_table(rows, rules).select("idx", "merchant", "amount", "category")
+    return L.reclassify_by_table(V.ledger(spark, sf), rules).select("idx", "merchant", "amount", "category")
 
 
 def replies(spark, sf):
-    """(batch_id, attempt, json): three attempts per customer of the first thousand, of the kinds that validation tells apart."""
-    c = table(spark, sf, "customer").where("c_custkey < 1000")
+    """(batch_id, attempt, json): three attempts per customer, of the kinds that validation tells apart."""
+    c = table(spark, sf, "customer")
     one = F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("attempt")
     k = (F.col("c_custkey") + F.col("attempt")) % 8
     good = F.format_string('{"일자":"2026-01-%02d","가맹점":"%s","금액":%d,"분류":"식비"}', (F.col("c_custkey") % 28 + 1).cast("int"), F.col("c_mktsegment"), F.col("c_custkey"))
@@ -88,7 +88,7 @@ def replies(spark, sf):
     return c.select("c_custkey", "c_mktsegment", one).select(F.col("c_custkey").alias("batch_id"), "attempt", F.coalesce(empty, body).alias("json"))
 
 
-REPLIES = """replies AS (SELECT c_custkey AS batch_id, attempt, (c_custkey + attempt) % 8 AS k, c_custkey % 50 AS e, c_mktsegment AS m FROM customer, (VALUES (1), (2), (3)) t(attempt) WHERE c_custkey < 1000),
+REPLIES = """replies AS (SELECT c_custkey AS batch_id, attempt, (c_custkey + attempt) % 8 AS k, c_custkey % 50 AS e, c_mktsegment AS m FROM customer, (VALUES (1), (2), (3)) t(attempt)),
 checked AS (SELECT *, CASE e WHEN 3 THEN NULL WHEN 4 THEN 'no list of transactions' WHEN 5 THEN 'no list of transactions' ELSE CASE k WHEN 0 THEN 'day is not text' WHEN 7 THEN 'day is not text' WHEN 1 THEN 'not an object'
   WHEN 2 THEN 'missing: 가맹점' WHEN 3 THEN 'merchant is not text' WHEN 4 THEN 'amount is not a number' WHEN 5 THEN 'amount is not a number' END END AS error FROM replies)"""
 
@@ -201,10 +201,10 @@ def x6(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", X.serial_to_day(serial).alias("day"))
 
 
-@query("x7_k4_amount_format", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:,}', abs(CAST(trunc(c_acctbal) AS BIGINT))) || '원' AS shown, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS cell FROM customer WHERE trunc(c_acctbal) <> 0")
+@query("x7_k4_amount_format", "SELECT c_custkey, CASE WHEN trunc(c_acctbal) < 0 THEN '-' ELSE '' END || format('{:,}', abs(CAST(trunc(c_acctbal) AS BIGINT))) || '원' AS shown, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS cell FROM customer")
 def x7(spark, sf):
     whole = X.number_to_amount(F.col("c_acctbal"))
-    return table(spark, sf, "customer").where(whole != 0).select("c_custkey", X.won(whole).alias("shown"), K.cell_text(F.when(F.col("c_custkey") % 7 != 0, F.col("c_name"))).alias("cell"))
+    return table(spark, sf, "customer").select("c_custkey", X.won(whole).alias("shown"), K.cell_text(F.when(F.col("c_custkey") % 7 != 0, F.col("c_name"))).alias("cell"))
 
 
 def threads(spark, sf):
@@ -234,13 +234,13 @@ def s5(spark, sf):
 
 
 def cells(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey < 2000")
+    li = table(spark, sf, "lineitem")
     blank = F.col("l_linenumber") == 3
     row = F.array(F.col("l_returnflag"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.when(F.col("l_linenumber") != 2, F.col("l_quantity").cast("int").cast("string")))
     return li.select(F.col("l_linestatus").alias("sheet"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"), F.when(blank, F.array(F.lit(""), F.lit(None).cast("string"))).otherwise(row).alias("cells"))
 
 
-@query("s7_f18_statement_lines", "SELECT l_linestatus AS sheet, l_orderkey * 10 + l_linenumber AS row_no, l_returnflag || chr(9) || strftime(l_shipdate, '%Y-%m-%d') || chr(9) || CASE WHEN l_linenumber = 2 THEN '' ELSE CAST(CAST(trunc(l_quantity) AS INT) AS VARCHAR) END AS line FROM lineitem WHERE l_orderkey < 2000 AND l_linenumber <> 3")
+@query("s7_f18_statement_lines", "SELECT l_linestatus AS sheet, l_orderkey * 10 + l_linenumber AS row_no, l_returnflag || chr(9) || strftime(l_shipdate, '%Y-%m-%d') || chr(9) || CASE WHEN l_linenumber = 2 THEN '' ELSE CAST(CAST(trunc(l_quantity) AS INT) AS VARCHAR) END AS line FROM lineitem WHERE l_linenumber <> 3")
 def s7(spark, sf):
     return S.statement_lines(cells(spark, sf))
 
@@ -257,7 +257,7 @@ def s8(spark, sf):
 def f14(spark, sf):
     n = (F.col("page_id") % 6).cast("int")
     t = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit("26.01.0"), (i - 1).cast("string"))), " ")).otherwise(F.lit(""))
-    return table(spark, sf, "pages").select("page_id", (F.regexp_count(t, F.lit(r"\b\d{2}\.\d{2}\.\d{2}\b")) >= 3).alias("dated"))
+    return table(spark, sf, "pages").select("page_id", S.has_dates(t).alias("dated"))
 
 
 @query("x10_page_position", "SELECT page_id, CAST(page_id % 9 AS INT) AS page, CASE WHEN page_id % 9 = 4 THEN NULL ELSE 9 END AS pages FROM pages WHERE page_id % 9 <> 4 UNION ALL SELECT page_id, NULL, NULL FROM pages WHERE page_id % 9 = 4")
@@ -269,7 +269,7 @@ def x10(spark, sf):
 
 @query("f17_truncate", "SELECT doc_id, length(substr(text, 1, 15000)) AS n FROM documents")
 def f17(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.length(F.substring("text", 1, 15000)).cast("bigint").alias("n"))
+    return table(spark, sf, "documents").select("doc_id", F.length(statement_head(F.col("text"))).cast("bigint").alias("n"))
 
 
 @query("s11_month_scan", f"WITH {V.KEPT} SELECT card, day, merchant, amount, category, idx FROM kept WHERE month_tab = '{V.REPLAYED}'")

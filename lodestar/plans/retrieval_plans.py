@@ -9,6 +9,7 @@ from lodestar.operators import compare as C
 from lodestar.operators import lexical as B
 from lodestar.operators import vector as N
 from lodestar.operators.fusion import fuse
+from lodestar.operators.graph import node_text
 from lodestar.sources import files as S
 from lodestar.sources import sinks as K
 
@@ -99,11 +100,12 @@ def vectors(spark, sf, pool=40, **how):
     return hits
 
 
-@query("x11_cosine_distance", f"WITH {V.VECTOR} SELECT qid, id, round(distance, 6) AS distance FROM knn")
+@query("x11_cosine_distance", "SELECT q.vec_id AS qid, v.vec_id AS id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings v JOIN embeddings q ON q.vec_id = v.vec_id - v.vec_id % 20")
 def x11(spark, sf):
-    q = V.vector_queries(spark, sf)
+    """Every vector's distance from the last query vector before it."""
     e = table(spark, sf, "embeddings")
-    return e.join(F.broadcast(q), F.col("qid") != F.col("vec_id")).select("qid", F.col("vec_id").alias("id"), F.round(X.cosine_distance(F.col("embedding"), F.col("vector")), 6).alias("distance"))
+    pairs = e.join(V.vector_queries(spark, sf), F.col("qid") == F.col("vec_id") - F.col("vec_id") % 20)
+    return pairs.select("qid", F.col("vec_id").alias("id"), F.round(X.cosine_distance(F.col("embedding"), F.col("vector")), 6).alias("distance"))
 
 
 @query("t2_w1_knn_top", f"WITH {KNN} SELECT qid, id, round(distance, 6) AS distance, CAST(rank AS INT) AS rank FROM vec")
@@ -138,9 +140,10 @@ def j2(spark, sf):
 
 @query("t3_k9_fusion_top", f"WITH {FUSED} SELECT qid, CAST(rank AS INT) AS rank, id, round(score, 6) AS score, round(bs, 4) AS bm25_score, round(dist, 4) AS distance, CASE WHEN lr IS NULL THEN 'vector' WHEN vr IS NULL THEN 'bm25' ELSE 'bm25+vector' END AS retrievers FROM ranked WHERE rank <= 8")
 def t3(spark, sf):
-    hits = fused(spark, sf, k=8)
-    hits = hits.join(lexical(spark, sf).select("qid", "id", F.col("score").alias("bm25_score")), ["qid", "id"], "left").join(vectors(spark, sf).select("qid", "id", "distance"), ["qid", "id"], "left")
-    return hits.select("qid", "rank", "id", F.round("score", 6).alias("score"), F.round("bm25_score", 4).alias("bm25_score"), F.round("distance", 4).alias("distance"), F.array_join("retrievers", "+").alias("retrievers"))
+    """As the result file has them: rounded by the sink, and read back from its JSON."""
+    hits = fused(spark, sf, k=8).withColumnsRenamed({"bm25_value": "bm25_score", "vector_value": "distance"})
+    lines = K.result_json(hits.select("qid", "rank", "id", "score", "bm25_score", "distance", F.array_join("retrievers", "+").alias("retrievers")))
+    return lines.select(F.from_json("json", "qid bigint, rank int, id bigint, score double, bm25_score double, distance double, retrievers string").alias("h")).select("h.*")
 
 
 @query("j3_hit_hydration", f"WITH {FUSED} SELECT r.qid, CAST(r.rank AS INT) AS rank, r.id, d.lang, d.source, substr(d.text, 1, 80) AS head FROM ranked r JOIN documents d ON d.doc_id = r.id WHERE r.rank <= 5")
@@ -198,17 +201,18 @@ def a14(spark, sf):
 @query("f19_document_projection", "SELECT c_custkey, concat_ws(chr(10), c_name, nullif(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END, '')) AS body FROM customer")
 def f19(spark, sf):
     seg = F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.col("c_mktsegment"))
-    return table(spark, sf, "customer").select("c_custkey", F.concat_ws("\n", "c_name", F.nullif(seg, F.lit(""))).alias("body"))
+    nodes = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"), seg.alias("qualname"), *[F.lit("").alias(c) for c in ("signature", "docstring", "file", "text")])
+    return nodes.select("c_custkey", node_text().alias("body"))
 
 
-@query("x14_x15_doc_line", "SELECT doc_id, substr(trim(string_split(trim(text), chr(10))[1]), 1, 200) AS line, substr(trim('// ' || lang || ' */', '/* '), 1, 200) AS note FROM documents")
+@query("x14_x15_doc_line", "SELECT doc_id, substr(trim(string_split(trim(text), chr(10))[1]), 1, 200) AS line, substr(lang || ' */', 1, 200) AS note FROM documents")
 def x14(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.doc_line(F.col("text")).alias("line"), X.comment_text(F.concat(F.lit("// "), "lang", F.lit(" */"))).alias("note"))
 
 
-@query("x17_x22_x23_x27_ids", "SELECT l_orderkey, l_linenumber, l_partkey, 'd/' || l_returnflag || '.py::' || l_linestatus || '::' || l_linenumber AS id, l_linestatus AS short, l_returnflag || '.py' AS base, l_linestatus || ' ─▶ ' || l_returnflag AS path FROM lineitem WHERE l_orderkey < 3000")
+@query("x17_x22_x23_x27_ids", "SELECT l_orderkey, l_linenumber, l_partkey, 'd/' || l_returnflag || '.py::' || l_linestatus || '::' || l_linenumber AS id, l_linestatus AS short, l_returnflag || '.py' AS base, l_linestatus || ' ─▶ ' || l_returnflag AS path FROM lineitem")
 def x17(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey < 3000").withColumn("id", F.concat_ws("::", F.concat(F.lit("d/"), "l_returnflag", F.lit(".py")), "l_linestatus", "l_linenumber"))
+    li = table(spark, sf, "lineitem").withColumn("id", F.concat_ws("::", F.concat(F.lit("d/"), "l_returnflag", F.lit(".py")), "l_linestatus", "l_linenumber"))
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "id", X.short_id(F.col("id")).alias("short"), X.basename(F.split_part("id", F.lit("::"), F.lit(1))).alias("base"), X.path_text(F.array("id", "l_returnflag")).alias("path"))
 
 
@@ -238,10 +242,11 @@ def u5(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.array_join(F.array_sort(F.array_except(F.array(*[F.lit(k) for k in "abc"]), F.json_object_keys(j))), ",").alias("missing"))
 
 
-@query("x9_mime_filename", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '_명세서.pdf' ELSE c_name END AS name FROM customer")
+@query("x9_mime_filename", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || '_명세서.pdf' WHEN 1 THEN 'no. ' || 'é ' || c_name || ' end' ELSE c_name END AS name FROM customer")
 def x9(spark, sf):
     half = lambda c: F.concat(F.lit("=?UTF-8?B?"), F.base64(c.cast("binary")), F.lit("?="))
-    raw = F.when(F.col("c_custkey") % 2 == 0, F.concat(half(F.col("c_name")), F.lit(" "), half(F.lit("_명세서.pdf")))).otherwise(F.col("c_name"))
+    quoted = F.concat(F.lit("no. =?utf-8?Q?=C3=A9_?= =?utf-8?q?"), F.replace("c_name", F.lit("#"), F.lit("=23")), F.lit("?= end"))
+    raw = F.when(F.col("c_custkey") % 3 == 0, F.concat(half(F.col("c_name")), F.lit(" "), half(F.lit("_명세서.pdf")))).when(F.col("c_custkey") % 3 == 1, quoted).otherwise(F.col("c_name"))
     return table(spark, sf, "customer").select("c_custkey", X.mime_filename(raw).alias("name"))
 
 

@@ -14,7 +14,7 @@ from .registry import query, table
 
 def reply_files(spark, sf, path: str) -> None:
     """One reply per order date and segment: files of a landing folder."""
-    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey < 3000")
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     item = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("일자"), F.col("o_orderpriority").alias("가맹점"), F.col("o_totalprice").cast("bigint").alias("금액"), F.lit("기타").alias("분류"))
     rows = o.select(F.col("c_mktsegment").alias("card"), F.concat(F.lit("stmt_20"), F.date_format("o_orderdate", "yyMM"), F.lit(".html")).alias("filename"), item.alias("t"))
     replies = rows.groupBy("card", "filename").agg(F.to_json(F.struct(F.collect_list("t").alias("transactions"))).alias("json"))
@@ -22,7 +22,7 @@ def reply_files(spark, sf, path: str) -> None:
 
 
 @query("r1_r4_r7_ledger_stream", """WITH rows AS (SELECT DISTINCT c_mktsegment AS card, strftime(o_orderdate, '20%y%m') AS month_tab, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS merchant, CAST(trunc(o_totalprice) AS BIGINT) AS amount
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 3000) SELECT month_tab, CAST(coalesce(sum(amount) FILTER (WHERE card <> 'HOUSEHOLD'), 0) AS BIGINT) AS grand_total FROM rows GROUP BY month_tab""")
+  FROM orders JOIN customer ON o_custkey = c_custkey) SELECT month_tab, CAST(coalesce(sum(amount) FILTER (WHERE card <> 'HOUSEHOLD'), 0) AS BIGINT) AS grand_total FROM rows GROUP BY month_tab""")
 def r1(spark, sf):
     """Two files per micro-batch, all delivered twice: the second delivery adds nothing."""
     root, inbox = scratch(spark, "stream"), scratch(spark, "inbox")

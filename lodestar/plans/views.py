@@ -45,16 +45,18 @@ def tokens_sql(text: str) -> str:
     hangul = "CASE WHEN length(r) >= 2 THEN list_concat([r], list_transform(range(1, length(r)), lambda i: substr(r, CAST(i AS INT), 2))) ELSE [r] END"
     return f"flatten(list_transform({RUN_TOKENS.format(t=text)}, lambda r: CASE WHEN regexp_full_match(r, '[A-Za-z0-9]+') THEN {ascii_run} ELSE {hangul} END))"
 
-def text_queries(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    """(qid, query): the first six blank-separated words of the first benchmark items, the third twice."""
-    words = F.slice(F.split("text", r"[ \n]+"), 1, 6)
-    return table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("qid"), F.array_join(F.concat(words, F.slice(words, 3, 1)), " ").alias("query"))
+#: Searches take as queries the rows whose id this divides.
+EVERY = 20
 
-QUERIES = """queries AS (SELECT item_id AS qid, array_to_string(list_concat(w[1:6], w[3:3]), ' ') AS query
-  FROM (SELECT item_id, string_split_regex(text, '[ \\n]+') AS w FROM benchmark WHERE item_id < 8))"""
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, query): whole benchmark items, and their third word again."""
+    third = F.coalesce(F.get(F.split("text", r"[ \n]+"), F.lit(2)), F.lit(""))
+    return table(spark, sf_dir, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("qid"), F.concat_ws(" ", "text", third).alias("query"))
 
-def vector_queries(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+QUERIES = f"""queries AS (SELECT item_id AS qid, text || ' ' || coalesce(string_split_regex(text, '[ \\n]+')[3], '') AS query FROM benchmark WHERE item_id % {EVERY} = 0)"""
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): regions hold nations, nations hold customers and suppliers, and a customer calls the three suppliers it buys from most."""
@@ -96,5 +98,5 @@ bm_q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({tokens_sql(
 bm25 AS (SELECT qid, id, sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))) AS score
   FROM bm_tf JOIN bm_q USING (term) JOIN bm_df USING (term), bm_stats GROUP BY qid, id)"""
 
-VECTOR = """knn AS (SELECT q.vec_id AS qid, v.vec_id AS id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance
-  FROM embeddings v JOIN embeddings q ON q.vec_id < 5 AND q.vec_id <> v.vec_id)"""
+VECTOR = f"""knn AS (SELECT q.vec_id AS qid, v.vec_id AS id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance
+  FROM embeddings v JOIN embeddings q ON q.vec_id % {EVERY} = 0 AND q.vec_id <> v.vec_id)"""
