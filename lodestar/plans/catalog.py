@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_plans, ledger_plans, retrieval_plans, stream_plans
+from . import file_plans, graph_plans, ledger_plans, retrieval_plans, stream_plans
 from .registry import ORACLES, QUERIES
 
-__all__ = ["graph_plans", "ledger_plans", "oracle_sql", "queries", "retrieval_plans", "stream_plans"]
+__all__ = ["file_plans", "graph_plans", "ledger_plans", "oracle_sql", "queries", "retrieval_plans", "stream_plans"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestar import show
 from lodestar.functions import text as X
 from lodestar.operators import compare as C
 from lodestar.operators import lexical as B
@@ -216,9 +217,10 @@ def x17(spark, sf):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "id", X.short_id(F.col("id")).alias("short"), X.basename(F.split_part("id", F.lit("::"), F.lit(1))).alias("base"), X.path_text(F.array("id", "l_returnflag")).alias("path"))
 
 
-@query("x24_hit_line", f"WITH {FUSED} SELECT qid, CAST(rank AS INT) AS rank, printf('%2d. %s  %.4f', rank, 'doc' || id, score) AS line FROM ranked WHERE rank <= 3")
+@query("x24_hit_line", f"WITH {FUSED} SELECT qid, CAST(rank AS INT) AS rank, printf('%d. %.4f %s  %s:%d  [%s %s]', rank, score, 'doc' || id, 'c.py', id, 'b' || coalesce(CAST(lr AS VARCHAR), '-'), 'v' || coalesce(CAST(vr AS VARCHAR), '-')) AS line FROM ranked WHERE rank <= 3")
 def x24(spark, sf):
-    return fused(spark, sf, k=3).select("qid", "rank", F.format_string("%2d. %s  %.4f", F.col("rank"), F.concat(F.lit("doc"), "id"), "score").alias("line"))
+    hits = fused(spark, sf, k=3).withColumn("metadata", F.struct(F.concat(F.lit("doc"), "id").alias("name"), F.lit("a/b/c.py").alias("file"), F.col("id").alias("start_line")))
+    return hits.select("qid", "rank", show.hybrid_line().alias("line"))
 
 
 @query("x26_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, CAST(json_object('id', event_id, 'type', event_type) AS VARCHAR) AS body FROM events")
