@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import token_file as T
 
@@ -59,3 +60,30 @@ def test_selective_reads(spark, documents, tmp_path):
     assert any("DICTIONARY" in e or "DELTA" in e for e in column.encodings) and column.has_offset_index
     ids = {r.doc_id: r.ids for r in T.read_tokens(spark, path).where("doc_id = 3").collect()}
     assert list(ids) == [3] and ids[3][-1] == T.END_ID
+
+
+def test_runs_equal_the_library(rng):
+    """Letters, marks, line ends and blanks in any order: cut into runs, and, where that is not allowed, whole."""
+    parts = ["a", "é", "foo", "Élan", "'s", "'", "n't", ".", ",", "$$", "\n", "\n\n", "\t", " ", "  ", "1", "²", "ß", "<|endoftext|>", "word", "x-y", "中", "×", "_", "|", ".\nAb", "!\n", " ", " ", "😀", "\r\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    own = T.Encoder(T.default_vocabulary())
+    assert own.by_word
+    for allowed in (True, False):
+        own.by_word = allowed
+        values, n = own.encode(pa.array(texts), [7])
+        whole = [own.library.encode(t, add_special_tokens=False).ids + [7] for t in texts]
+        assert n.tolist() == list(map(len, whole)) and values.tolist() == [i for ids in whole for i in ids]
+
+
+def test_a_hot_id_is_dealt_over_ranges(spark, tmp_path):
+    rows = spark.range(4000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.col("id") % 40, F.lit(" words")).alias("text")).repartition(4)
+    path = str(tmp_path / "hot")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        T.write_tokens(rows, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n for r in T.read_index(spark, path).groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 0.5 * 4000
+    got = T.read_index(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in got) and all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
