@@ -48,34 +48,46 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 100) -> DataFram
     return spark.read.parquet(path)
 
 
-def linked(rows: DataFrame, cells: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], *, verified: Callable[[DataFrame], DataFrame] | None = None, links: DataFrame | None = None, whole: bool = True, label: str = "links") -> DataFrame:
-    """(a, b): links between keys that share a cell, enough of them to connect all that are linked by any.
+def merged(roots: DataFrame | None, links: DataFrame, label: str) -> DataFrame:
+    """(node, root) after more (a, b) links: only what they add to the components, as links between these, is searched for components."""
+    if roots is None:
+        return connected_components(links)
+    of = small(roots)
+    for c in ("a", "b"):
+        links = links.join(of, F.col(c) == F.col("node"), "left").withColumn(c, F.coalesce("root", c)).drop("node", "root")
+    new = connected_components(links)
+    moved = roots.join(small(new.select(F.col("node").alias("_from"), F.col("root").alias("_to"))), F.col("root") == F.col("_from"), "left")
+    return written(moved.select("node", F.coalesce("_to", "root").alias("root")).unionByName(new), f"{label}-roots")
+
+
+def linked(rows: DataFrame, cells: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], *, verified: Callable[[DataFrame], DataFrame] | None = None, roots: DataFrame | None = None, stars: int = 1, whole: bool = True, label: str = "links") -> DataFrame:
+    """(node, root): the components of the keys that share a cell and are linked; root is the smallest key reachable, and itself not listed.
 
     rows: a row per key with what cells(rows) needs to give (cell, key, comp, …), a row per cell of a key,
     and what near(l, r) reads; near says whether the rows under the aliases l and r may be linked; verified
-    keeps the true links of (a, b) pairs, where near alone does not decide. `links` that are known before
-    need not be found again.
+    keeps the true links of (a, b) pairs, where near alone does not decide. `roots` are components that are
+    known before.
 
-    First every cell's members are compared with one of them, which ties most of a large group at linear
-    cost. Then, if the links are to be `whole`, members that are not yet connected with the bulk of their
-    cell, the component of that one, are compared with all members of other components: pairs of one
-    component are never made, so n texts that are all alike give n links and not n * n.
+    First, `stars` times, every cell's members are compared with one of them, one of two that are drawn for
+    each round among those of a large group, which ties most of the group at linear cost. Then, if links are
+    to be `whole`, members that are not yet connected with the bulk of their cell, the component of the one,
+    are compared with all members of other components: pairs of one component are never made, so n texts
+    that are all alike give about n links and not n * n.
     """
-    for last in (False, True) if whole else (False,):
+    for turn in range(stars + whole):
         now = rows.withColumn("comp", F.col("key"))
-        if links is not None:
-            now = rows.join(small(connected_components(links)), F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
+        if roots is not None:
+            now = rows.join(small(roots), F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
         now = cells(now)
         others = [c for c in now.columns if c != "cell"]
-        centre = now.groupBy("cell").agg(F.min(F.struct(*others)).alias("_one"), (F.min("comp") != F.max("comp")).alias("_spread")).where("_spread").select("cell", "_one.*")
-        if last:
-            centre = small(written(centre.select("cell", F.col("comp").alias("_bulk")), f"{label}-bulks"))
-            now = written(now.join(centre, "cell"), f"{label}-members")
+        drawn = F.xxhash64(F.lit(turn), F.col("cell").bitwiseAND(F.lit(1)), F.col("key")).alias("_drawn")
+        centre = now.groupBy("cell").agg(F.min(F.struct(drawn, *others)).alias("_one"), (F.min("comp") != F.max("comp")).alias("_spread")).where("_spread").select("cell", "_one.*").drop("_drawn")
+        if turn == stars:
+            now = written(now.join(centre.select("cell", F.col("comp").alias("_bulk")), "cell"), f"{label}-members")
             left = now.where("comp <> _bulk")
         else:
             left = centre
         met = left.alias("l").join(now.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (F.col("l.comp") != F.col("r.comp")) & near("l", "r"))
         met = met.select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b")).distinct()
-        found = verified(met) if verified else written(met, label)
-        links = found if links is None else links.unionByName(found)
-    return links
+        roots = merged(roots, verified(met) if verified else written(met, label), label)
+    return roots

@@ -170,7 +170,6 @@ def prefixes(docs: DataFrame, majority, *, id_col: str = "doc_id", text_col: str
 def shared_cells(marked: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """(key, n, prefix) of the distinct sets, and what gives (cell, key, comp, n, pos) from them: where a set has a shingle of its prefix, if another set has it too."""
     cells = marked.select("key", F.explode("prefix").alias("cell")).groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("cell")
-    cells = small(written(cells, "cells"))
     shared = marked.select("key", "n", F.posexplode("prefix").alias("pos", "cell")).join(cells, "cell", "left_semi")
     shared = written(shared.distinct(), "shared")
     return shared, lambda rows: rows.select("cell", "key", "comp", "n", "pos")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import jaccard as sets
 from .common import bounded_batches, scratch, shingle_hashes, transient, written
-from .components import connected_components, linked
+from .components import linked, small
 from .jaccard import signed
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
@@ -135,7 +135,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     path = scratch(spark, "components")
     with transient(spark):
         cells = grid_cells(distance, groups or grid_groups(classes.count(), distance))
-        roots = connected_components(linked(classes.select(F.col("fp").alias("key"), "fp"), cells, within(distance), label="simhash"))
+        roots = linked(classes.select(F.col("fp").alias("key"), "fp"), cells, within(distance), label="simhash")
         roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         tied = classes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "rep")
         tied.join(tied.groupBy("root").agg(F.min("rep").alias("least")), "root").select("fp", "least").write.parquet(path)
@@ -164,9 +164,9 @@ def similar_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         check = lambda pairs: sets.verified(pairs, marked, docs, text_col)
         prints = written(marked.groupBy("key").agg(F.min("fp").alias("fp")), "prints")
         cells = grid_cells(DISTANCE, grid_groups(prints.count(), DISTANCE))
-        found = linked(prints, cells, within(DISTANCE), verified=check, whole=False, label="simhash")
-        found = linked(*sets.shared_cells(marked), sets.possible, verified=check, links=found, label="shingles")
-        placed = marked.select("doc_id", "key").join(connected_components(found), F.col("key") == F.col("node"), "left")
+        roots = linked(prints, cells, within(DISTANCE), verified=check, whole=False, label="simhash")
+        roots = linked(*sets.shared_cells(marked), sets.possible, verified=check, roots=roots, stars=2, label="shingles")
+        placed = marked.select("doc_id", "key").join(small(roots), F.col("key") == F.col("node"), "left")
         kept = placed.groupBy(F.coalesce("root", "key").alias("comp")).agg(F.min("doc_id").alias("_kept_id"))
         kept.select("_kept_id").distinct().write.parquet(path)
     kept = spark.read.parquet(path)
