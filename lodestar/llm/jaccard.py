@@ -2,9 +2,15 @@
 
 Two texts are linked if their sets of SHINGLE-word shingles have a similarity of SIMILARITY or more. Every such
 pair is found: the shingles of a text are put in one fixed order, and two linked sets then share one among
-the first n - ceil(s n) + 1 of each, its prefix. Prefixes are joined by equality; a length bound and the bound
-that the places of a shared shingle put on the overlap leave few pairs. Their prefixes are intersected, and
-where these share enough, the whole sets.
+the first n - ceil(s n) + 1 of each, its prefix. Prefixes are joined by equality; a length bound, the bound
+that the places of a shared shingle put on the overlap and that of the sketches leave few pairs. Their prefixes
+are intersected, and where these share enough, the whole sets.
+
+Sketches. A set's sketch has bit i set if an odd number of its hashes fall on i, of SKETCH bits. A shingle of both
+sets cancels out in the exclusive or of their sketches, so its bits never outnumber the shingles that only one set
+has: a pair whose sketches differ in more bits than the similarity allows is none, and no link is lost. The
+join's own condition tells this, so that a group of texts that are nearly similar enough makes hardly more pairs
+than it has links. Of sets of over 9 / 4 SKETCH shingles a sketch says nothing, and the other bounds remain.
 
 Order. Shingles that a bounded sample of texts shows to be common come last, the others by their hash. Any
 order gives the same links; this one keeps common lines out of prefixes.
@@ -20,6 +26,8 @@ empty table gives an empty result. Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +43,9 @@ SEED, SHINGLE = 42, 5
 SIMILARITY = (4, 5)
 #: Texts of the sample, how many of them make a shingle common, and the most shingles kept as common.
 SAMPLE, COMMON, MOST_COMMON = 4000, 8, 10_000
+#: Bits of a sketch, and the columns that hold 64 each.
+SKETCH = 512
+PARTS = [f"s{i}" for i in range(SKETCH // 64)]
 EMPTY = np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
 
 
@@ -53,6 +64,12 @@ def prefix(hashes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
     return taken, (int(taken[-1]) >> 2) + (int(len(taken) > n - late.sum()) << 62)
 
 
+def sketch(hashes: np.ndarray) -> list[int]:
+    """For each of SKETCH bits whether an odd number of the hashes fall on it, as signed longs."""
+    odd = np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
+
+
 def arrays(docs: DataFrame, ids: list[str], text_col: str, made: str, make) -> DataFrame:
     """The id columns, and what make(text) gives as a tuple of columns."""
     fields = docs.select(*ids).schema
@@ -108,7 +125,14 @@ def similar(common: Column, n: Column, m: Column) -> Column:
 def possible(a: str, b: str) -> Column:
     """What a linked pair fulfils at the first shingle that it shares, and often another pair does not."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return similar(F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")), n, m)
+    return similar(F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")), n, m) & sketched(a, b)
+
+
+def sketched(a: str, b: str) -> Column:
+    """Whether the sketches let two sets be similar: they differ in no more bits than the sets in shingles."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = reduce(add, (F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PARTS))
+    return similar((n + m - apart) / 2, n, m)
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -116,12 +140,12 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 
 def promising(pairs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Without the pairs whose prefixes share too little: what is shared besides lies behind the prefix that ends first."""
-    one = written(marked.join(small(written(ends(pairs), "ends")), "key", "left_semi").select("key", F.struct("n", "last", "prefix").alias("s")).dropDuplicates(["key"]), "end-prefixes")
+    """Without the pairs whose sketches differ too much or whose prefixes share too little: what is shared besides lies behind the prefix that ends first."""
+    one = written(marked.join(small(written(ends(pairs), "ends")), "key", "left_semi").select("key", F.struct("n", "last", "prefix", *PARTS).alias("s")).dropDuplicates(["key"]), "end-prefixes")
     both = pairs.join(one.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(one.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
     x, y = F.col("x.n") - F.size("x.prefix"), F.col("y.n") - F.size("y.prefix")
     behind = F.when(F.col("x.last") < F.col("y.last"), x).when(F.col("x.last") > F.col("y.last"), y).otherwise(F.greatest(x, y))
-    return both.where(similar(F.size(F.array_intersect("x.prefix", "y.prefix")) + behind, F.col("x.n"), F.col("y.n"))).select("a", "b")
+    return both.where(sketched("x", "y") & similar(F.size(F.array_intersect("x.prefix", "y.prefix")) + behind, F.col("x.n"), F.col("y.n"))).select("a", "b")
 
 
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,22 +178,22 @@ def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame, text_col: str
 
 
 def prefixes(docs: DataFrame, majority, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, text_hash, key (of its set), n (shingles in it), fp (majority of its shingles' hashes), last, prefix. Each text is read once."""
+    """A row per document: doc_id, text_hash, key (of its set), n (shingles in it), fp (majority of its shingles' hashes), last, the parts of its sketch, prefix. Each text is read once."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col))
 
-    def mark(text: str | None) -> tuple[int, int, int, int, np.ndarray]:
+    def mark(text: str | None) -> tuple:
         hashes = shingle_hashes(text, SHINGLE, SEED)
         distinct = np.unique(hashes) if len(hashes) else EMPTY
         taken, last = prefix(distinct, common.value)
-        return set_key(distinct), len(distinct), signed(majority(hashes)), last, taken
+        return set_key(distinct), len(distinct), signed(majority(hashes)), last, *sketch(distinct), taken
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return written(arrays(rows, ["doc_id", "text_hash"], "text", "key bigint, n bigint, fp bigint, last bigint, prefix array<bigint>", mark), "prefixes")
+    return written(arrays(rows, ["doc_id", "text_hash"], "text", f"key bigint, n bigint, fp bigint, last bigint, {' bigint, '.join(PARTS)} bigint, prefix array<bigint>", mark), "prefixes")
 
 
 def shared_cells(marked: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """(key, n, prefix) of the distinct sets, and what gives (cell, key, comp, n, pos) from them: where a set has a shingle of its prefix, if another set has it too."""
+    """(cell, key, n, pos, sketch) of the distinct sets, and what gives (cell, key, comp, n, pos, sketch) from them: where a set has a shingle of its prefix, if another set has it too."""
     cells = marked.select("key", F.explode("prefix").alias("cell")).groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("cell")
-    shared = marked.select("key", "n", F.posexplode("prefix").alias("pos", "cell")).join(cells, "cell", "left_semi")
+    shared = marked.select("key", "n", *PARTS, F.posexplode("prefix").alias("pos", "cell")).join(cells, "cell", "left_semi")
     shared = written(shared.distinct(), "shared")
-    return shared, lambda rows: rows.select("cell", "key", "comp", "n", "pos")
+    return shared, lambda rows: rows.select("cell", "key", "comp", "n", "pos", *PARTS)

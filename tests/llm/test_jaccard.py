@@ -70,6 +70,40 @@ def test_sets_and_prefixes():
     assert not set(J.prefix(hashes[:50], hashes[:20])[0].tolist()) & set(hashes[:20].tolist())
 
 
+def test_sketches_never_differ_more_than_the_sets(spark, rng):
+    """Sets of 1 to 3,000 shingles, from equal to disjoint: the bound holds, no pair of similarity 0.8 or more is ruled out, and of pairs about 0.7 hardly any is let through."""
+    rows, known = [], []
+    for n in (1, 5, 30, 146, 400, 1100, 3000):
+        for part in (0, 0.05, 0.11, 0.2, 0.5, 1):
+            for _ in range(4):
+                x = [rng.getrandbits(64) for _ in range(n)]
+                y = x[round(n * part) :] + [rng.getrandbits(64) for _ in range(round(n * part))]
+                rows.append((len(rows), *({"n": n, **dict(zip(J.PARTS, J.sketch(J.np.array(v, "u8"))))} for v in (x, y))))
+                known.append((n, len(set(x) & set(y)), len(set(x) | set(y))))
+    fields = "n bigint, " + ", ".join(f"{c} bigint" for c in J.PARTS)
+    df = spark.createDataFrame(rows, f"i int, x struct<{fields}>, y struct<{fields}>")
+    let = {r.i for r in df.where(J.sketched("x", "y")).collect()}
+    for (i, x, y), (n, common, union) in zip(rows, known):
+        apart = sum(bin((x[c] ^ y[c]) & (2**64 - 1)).count("1") for c in J.PARTS)
+        assert apart <= union - common
+        assert 5 * common < 4 * union or i in let
+        assert not (30 <= n <= 400 and 3 * common < 2 * union + 1) or i not in let
+
+
+def test_a_group_about_the_bound_makes_few_pairs(spark, rng, monkeypatch):
+    """Copies of a template that share lines but are too different: they meet in cells, and their pairs are not made."""
+    made, verified = [], J.verified
+    monkeypatch.setattr(J, "verified", lambda pairs, *a: made.append(pairs.count()) or verified(pairs, *a))
+    template = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        at = list(template)
+        for j in rng.sample(range(150), 3):
+            at[j] = f"x{i}-{j}"
+        rows.append((i, " ".join(at)))
+    assert kept(spark, rows) == brute(rows) and sum(made) < 300
+
+
 def test_awkward(awkward, empty, spark):
     got = sorted((r.doc_id for r in S.similar_dedup(awkward).where("doc_id IS NOT NULL").select("doc_id").distinct().collect()))
     assert got == brute([(r.doc_id, r.text) for r in awkward.collect()])
