@@ -60,7 +60,7 @@ def merged(roots: DataFrame | None, links: DataFrame, label: str) -> DataFrame:
     return written(moved.select("node", F.coalesce("_to", "root").alias("root")).unionByName(new), f"{label}-roots")
 
 
-def linked(rows: DataFrame, cells: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], *, verified: Callable[[DataFrame], DataFrame] | None = None, roots: DataFrame | None = None, stars: int = 1, whole: bool = True, label: str = "links") -> DataFrame:
+def linked(rows: DataFrame, cells: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], *, verified: Callable[[DataFrame], DataFrame] | None = None, roots: DataFrame | None = None, stars: int = 1, whole: bool | tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] = True, label: str = "links") -> DataFrame:
     """(node, root): the components of the keys that share a cell and are linked; root is the smallest key reachable, and itself not listed.
 
     rows: a row per key with what cells(rows) needs to give (cell, key, comp, …), a row per cell of a key,
@@ -72,9 +72,10 @@ def linked(rows: DataFrame, cells: Callable[[DataFrame], DataFrame], near: Calla
     each round among those of a large group, which ties most of the group at linear cost. Then, if links are
     to be `whole`, members that are not yet connected with the bulk of their cell, the component of the one,
     are compared with all members of other components: pairs of one component are never made, so n texts
-    that are all alike give about n links and not n * n.
+    that are all alike give about n links and not n * n. In place of True, `whole` may be what adds columns to
+    the members that come so far, and a sharper `near` that reads them: rows stay thin until then.
     """
-    for turn in range(stars + whole):
+    for turn in range(stars + bool(whole)):
         now = rows.withColumn("comp", F.col("key"))
         if roots is not None:
             now = rows.join(small(roots), F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
@@ -84,6 +85,8 @@ def linked(rows: DataFrame, cells: Callable[[DataFrame], DataFrame], near: Calla
         centre = now.groupBy("cell").agg(F.min(F.struct(drawn, *others)).alias("_one"), (F.min("comp") != F.max("comp")).alias("_spread")).where("_spread").select("cell", "_one.*").drop("_drawn")
         if turn == stars:
             now = written(now.join(centre.select("cell", F.col("comp").alias("_bulk")), "cell"), f"{label}-members")
+            if isinstance(whole, tuple):
+                now, near = written(whole[0](now), f"{label}-wide"), whole[1]
             left = now.where("comp <> _bulk")
         else:
             left = centre

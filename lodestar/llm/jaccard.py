@@ -6,14 +6,20 @@ the first n - ceil(s n) + 1 of each, its prefix. Prefixes are joined by equality
 that the places of a shared shingle put on the overlap and that of the sketches leave few pairs. Their prefixes
 are intersected, and where these share enough, the whole sets.
 
+Disk. A cell's row is three numbers (cell, set, its size and place), shuffled once for all cells; only rows of cells
+that sets of several components share go further, and sketches come to these, or to pairs, afterwards.
+
 Sketches. A set's sketch has bit i set if an odd number of its hashes fall on i, of SKETCH bits. A shingle of both
 sets cancels out in the exclusive or of their sketches, so its bits never outnumber the shingles that only one set
 has: a pair whose sketches differ in more bits than the similarity allows is none, and no link is lost. The
 join's own condition tells this, so that a group of texts that are nearly similar enough makes hardly more pairs
-than it has links. Of sets of over 9 / 4 SKETCH shingles a sketch says nothing, and the other bounds remain.
+than it has links. Of sets of over 9 / 4 SKETCH shingles such a sketch says nothing. Pairs are therefore sifted by
+sketches that grow with the set, of two bits or more a shingle; the longer of two is folded to the shorter's length.
 
-Order. Shingles that a bounded sample of texts shows to be common come last, the others by their hash. Any
-order gives the same links; this one keeps common lines out of prefixes.
+Order. Shingles that a bounded sample of texts shows to be common come last, the others by how frequent their
+words are in that sample, then by their hash. Any order gives the same links; this one keeps out of prefixes what
+texts share by chance: common lines, and runs of words that are frequent everywhere. Otherwise the shared cells
+would grow faster than the table.
 
 Sets that are equal form one class. A shingle's hash in a prefix is a cell; cells that hold one class alone
 are left out before anything is joined (components.linked() does the rest).
@@ -32,10 +38,10 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch, shingle_hashes, transient, written
+from .common import ascii_lower, bounded_batches, scratch, shingle_hashes, transient, written
 from .components import small
 
 SEED, SHINGLE = 42, 5
@@ -43,6 +49,8 @@ SEED, SHINGLE = 42, 5
 SIMILARITY = (4, 5)
 #: Texts of the sample, how many of them make a shingle common, and the most shingles kept as common.
 SAMPLE, COMMON, MOST_COMMON = 4000, 8, 10_000
+#: The most words whose frequency in the sample is kept; others count as rare.
+MOST_WORDS = 50_000
 #: Bits of a sketch, and the columns that hold 64 each.
 SKETCH = 512
 PARTS = [f"s{i}" for i in range(SKETCH // 64)]
@@ -55,21 +63,34 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(hashes) if len(hashes) else EMPTY
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first n - ceil(s n) + 1 of n hashes, common ones last, and the place of the last of these in the order (equal places may be of neighbouring hashes)."""
+def levels_of(text: str | None, known: dict[bytes, int], n: int) -> np.ndarray:
+    """How frequent the words of each of a text's n shingles are: the sum of their levels, at most 255."""
+    levels = np.cumsum([0, *(known.get(w, 0) for w in (text or "").encode("utf-8", "replace").lower().split())])
+    width = len(levels) - n
+    return np.minimum(levels[width:] - levels[:-width], 255)
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, levels: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """The first n - ceil(s n) + 1 of n hashes, common ones last, those of low levels first, and the place of the last of these in the order (equal places may be of neighbouring hashes)."""
     top, bottom = SIMILARITY
     n = len(hashes)
-    late = np.isin(hashes, common, assume_unique=True)
-    taken = np.concatenate([hashes[~late], hashes[late]])[: n + (-top * n) // bottom + 1]
-    return taken, (int(taken[-1]) >> 2) + (int(len(taken) > n - late.sum()) << 62)
+    level = (0 if levels is None else levels) + 256 * np.isin(hashes, common, assume_unique=True)
+    order = np.lexsort((hashes, level))[: n + (-top * n) // bottom + 1]
+    end = order[-1]
+    return hashes[order], (int(level[end]) << 54) + (int(hashes[end]) >> 10)
 
 
-def sketch(hashes: np.ndarray) -> list[int]:
-    """For each of SKETCH bits whether an odd number of the hashes fall on it, as signed longs."""
-    odd = np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+def sketch(hashes: np.ndarray, bits: int = SKETCH) -> list[int]:
+    """For each of the bits whether an odd number of the hashes fall on it, as signed longs."""
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
 
 
+def fine_sketch(hashes: np.ndarray) -> np.ndarray:
+    """A sketch of at least two bits a shingle; its length in bits is a power of two from SKETCH on."""
+    return np.array(sketch(hashes, max(SKETCH, 1 << (2 * len(hashes) - 1).bit_length())), np.int64)
+
+
 def arrays(docs: DataFrame, ids: list[str], text_col: str, made: str, make) -> DataFrame:
     """The id columns, and what make(text) gives as a tuple of columns."""
     fields = docs.select(*ids).schema
@@ -106,14 +127,16 @@ def set_key(hashes: np.ndarray) -> int:
     return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
 
 
-def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Hashes of shingles that many texts of a bounded sample hold, sorted."""
+def common_parts(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, dict[bytes, int]]:
+    """Of a bounded sample of texts the hashes of shingles that many of them hold, sorted, and a level of each word that occurs twice or more: the number of binary digits of its count."""
     place = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     sample = docs.where(place < min(1.0, SAMPLE / max(1, docs.count())))
     sets = arrays(sample, [id_col], text_col, "hashes array<bigint>", lambda t: (shingle_set(t),))
     counts = sets.select(F.explode("hashes").alias("hash")).groupBy("hash").count().where(F.col("count") >= COMMON)
     found = counts.orderBy(F.desc("count"), "hash").limit(MOST_COMMON).collect()
-    return np.sort(np.array([r.hash for r in found], np.int64).view(np.uint64))
+    words = sample.select(F.explode(F.split(ascii_lower(F.col(text_col)), r"[\x20\x09-\x0D]+")).alias("word")).groupBy("word").count().where("count > 1 AND word <> ''")
+    levels = {r.word.encode("utf-8", "replace"): r["count"].bit_length() for r in words.orderBy(F.desc("count"), "word").limit(MOST_WORDS).collect()}
+    return np.sort(np.array([r.hash for r in found], np.int64).view(np.uint64)), levels
 
 
 def similar(common: Column, n: Column, m: Column) -> Column:
@@ -125,7 +148,11 @@ def similar(common: Column, n: Column, m: Column) -> Column:
 def possible(a: str, b: str) -> Column:
     """What a linked pair fulfils at the first shingle that it shares, and often another pair does not."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return similar(F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")), n, m) & sketched(a, b)
+    return similar(F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")), n, m)
+
+
+def possible_by_sketch(a: str, b: str) -> Column:
+    return possible(a, b) & sketched(a, b)
 
 
 def sketched(a: str, b: str) -> Column:
@@ -135,17 +162,40 @@ def sketched(a: str, b: str) -> Column:
     return similar((n + m - apart) / 2, n, m)
 
 
+def finely_sketched(a: str, b: str) -> Column:
+    """The same by the fine sketches, of which one is at most twice as long if the sizes allow the similarity."""
+    n, m, x, y = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.fine"), F.col(f"{b}.fine")
+
+    def folded(own: Column, other: Column) -> Column:
+        half = F.floor(F.size(own) / 2).cast("int")
+        return F.when(F.size(own) > F.size(other), F.zip_with(F.slice(own, 1, half), F.slice(own, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(own)
+
+    apart = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    return F.when(similar(F.least(n, m), n, m), similar((n + m - apart) / 2, n, m)).otherwise(False)
+
+
 def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
 
 
+def ended(pairs: DataFrame, marked: DataFrame, *columns: str) -> DataFrame:
+    """The pairs with columns of their two sets, as structs x and y."""
+    one = marked.join(small(written(ends(pairs), "ends")), "key", "left_semi").select("key", F.struct(*columns).alias("s")).dropDuplicates(["key"])
+    one = written(one, "ended")
+    return pairs.join(one.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(one.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
+
+
+def sifted(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Without the pairs whose sketches differ too much."""
+    return written(ended(written(pairs, "pairs"), marked, "n", "fine").where(finely_sketched("x", "y")).select("a", "b"), "sifted")
+
+
 def promising(pairs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Without the pairs whose sketches differ too much or whose prefixes share too little: what is shared besides lies behind the prefix that ends first."""
-    one = written(marked.join(small(written(ends(pairs), "ends")), "key", "left_semi").select("key", F.struct("n", "last", "prefix", *PARTS).alias("s")).dropDuplicates(["key"]), "end-prefixes")
-    both = pairs.join(one.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(one.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
+    """Without the pairs whose prefixes share too little: what is shared besides lies behind the prefix that ends first."""
     x, y = F.col("x.n") - F.size("x.prefix"), F.col("y.n") - F.size("y.prefix")
     behind = F.when(F.col("x.last") < F.col("y.last"), x).when(F.col("x.last") > F.col("y.last"), y).otherwise(F.greatest(x, y))
-    return both.where(sketched("x", "y") & similar(F.size(F.array_intersect("x.prefix", "y.prefix")) + behind, F.col("x.n"), F.col("y.n"))).select("a", "b")
+    both = ended(pairs, marked, "n", "last", "prefix")
+    return both.where(similar(F.size(F.array_intersect("x.prefix", "y.prefix")) + behind, F.col("x.n"), F.col("y.n"))).select("a", "b")
 
 
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,22 +228,30 @@ def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame, text_col: str
 
 
 def prefixes(docs: DataFrame, majority, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, text_hash, key (of its set), n (shingles in it), fp (majority of its shingles' hashes), last, the parts of its sketch, prefix. Each text is read once."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col))
+    """A row per document: doc_id, text_hash, key (of its set), n (shingles in it), fp (majority of its shingles' hashes), last, the parts of its sketch, fine (the other sketch), prefix. Each text is read once."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_parts(docs, id_col, text_col))
 
     def mark(text: str | None) -> tuple:
+        common, known = shared.value
         hashes = shingle_hashes(text, SHINGLE, SEED)
-        distinct = np.unique(hashes) if len(hashes) else EMPTY
-        taken, last = prefix(distinct, common.value)
-        return set_key(distinct), len(distinct), signed(majority(hashes)), last, *sketch(distinct), taken
+        distinct, at = np.unique(hashes, return_index=True) if len(hashes) else (EMPTY, None)
+        taken, last = prefix(distinct, common, None if at is None else levels_of(text, known, len(hashes))[at])
+        return set_key(distinct), len(distinct), signed(majority(hashes)), last, *sketch(distinct), fine_sketch(distinct), taken
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return written(arrays(rows, ["doc_id", "text_hash"], "text", f"key bigint, n bigint, fp bigint, last bigint, {' bigint, '.join(PARTS)} bigint, prefix array<bigint>", mark), "prefixes")
+    return written(arrays(rows, ["doc_id", "text_hash"], "text", f"key bigint, n bigint, fp bigint, last bigint, {' bigint, '.join(PARTS)} bigint, fine array<bigint>, prefix array<bigint>", mark), "prefixes")
+
+
+def shared_cells(marked: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """(cell, key, n, pos) of the distinct sets: where a set has a shingle of its prefix, if another set has it too. With it what gives (cell, key, comp, n, pos) from these rows, and what adds the sketches to them."""
+    placed = marked.select("key", "n", F.posexplode("prefix").alias("pos", "cell")).select("cell", "key", (F.shiftleft(F.col("n"), 31) + F.col("pos")).alias("at"))
+    of = Window.partitionBy("cell")
+    shared = placed.withColumn("_lo", F.min("key").over(of)).withColumn("_hi", F.max("key").over(of)).where("_lo <> _hi")
+    shared = shared.select("cell", "key", F.shiftright("at", 31).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).alias("pos"))
+    shared = written(shared.dropDuplicates(["cell", "key"]), "shared")
 
+    def with_sketches(rows: DataFrame) -> DataFrame:
+        keys = written(rows.select("key").distinct(), "met-keys")
+        return rows.join(marked.select("key", *PARTS).join(small(keys), "key", "left_semi").dropDuplicates(["key"]), "key")
 
-def shared_cells(marked: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """(cell, key, n, pos, sketch) of the distinct sets, and what gives (cell, key, comp, n, pos, sketch) from them: where a set has a shingle of its prefix, if another set has it too."""
-    cells = marked.select("key", F.explode("prefix").alias("cell")).groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("cell")
-    shared = marked.select("key", "n", *PARTS, F.posexplode("prefix").alias("pos", "cell")).join(cells, "cell", "left_semi")
-    shared = written(shared.distinct(), "shared")
-    return shared, lambda rows: rows.select("cell", "key", "comp", "n", "pos", *PARTS)
+    return shared, lambda rows: rows.select("cell", "key", "comp", "n", "pos"), with_sketches

@@ -161,11 +161,13 @@ def similar_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     path = scratch(spark, "kept")
     with transient(spark):
         marked = sets.prefixes(docs, majority, id_col=id_col, text_col=text_col)
-        check = lambda pairs: sets.verified(pairs, marked, docs, text_col)
+        check = lambda pairs: sets.verified(sets.sifted(pairs, marked), marked, docs, text_col)
         prints = written(marked.groupBy("key").agg(F.min("fp").alias("fp")), "prints")
         cells = grid_cells(DISTANCE, grid_groups(prints.count(), DISTANCE))
         roots = linked(prints, cells, within(DISTANCE), verified=check, whole=False, label="simhash")
-        roots = linked(*sets.shared_cells(marked), sets.possible, verified=check, roots=roots, stars=2, label="shingles")
+        shared, cells, with_sketches = sets.shared_cells(marked)
+        whole = (with_sketches, sets.possible_by_sketch)
+        roots = linked(shared, cells, sets.possible, verified=check, roots=roots, stars=2, whole=whole, label="shingles")
         placed = marked.select("doc_id", "key").join(small(roots), F.col("key") == F.col("node"), "left")
         kept = placed.groupBy(F.coalesce("root", "key").alias("comp")).agg(F.min("doc_id").alias("_kept_id"))
         kept.select("_kept_id").distinct().write.parquet(path)

@@ -90,6 +90,35 @@ def test_sketches_never_differ_more_than_the_sets(spark, rng):
         assert not (30 <= n <= 400 and 3 * common < 2 * union + 1) or i not in let
 
 
+def test_fine_sketches_tell_of_large_sets_and_sizes_apart(spark, rng):
+    """Also above 9 / 4 SKETCH shingles: pairs of 0.8 or more are let through, those about 0.7 or of other sizes are not; sizes lie on both sides of a power of two."""
+    rows, known = [], []
+    for n, m in ((1, 1), (250, 260), (300, 250), (1100, 1000), (2800, 2800), (4200, 4000), (9000, 1000)):
+        for part in (0, 0.04, 0.1, 0.2, 1):
+            x = [rng.getrandbits(64) for _ in range(n)]
+            y = (x[round(n * part) :] + [rng.getrandbits(64) for _ in range(n)])[:m]
+            rows.append((len(rows), *({"n": len(v), "fine": J.fine_sketch(J.np.array(v, "u8")).tolist()} for v in (x, y))))
+            known.append((n, len(set(x) & set(y)), len(set(x) | set(y))))
+    df = spark.createDataFrame(rows, "i int, x struct<n:bigint,fine:array<bigint>>, y struct<n:bigint,fine:array<bigint>>")
+    let = {r.i for r in df.where(J.finely_sketched("x", "y")).collect()}
+    for (i, *_), (n, common, union) in zip(rows, known):
+        assert 5 * common < 4 * union or i in let
+        assert n < 30 or 3 * common >= 2 * union + 1 or i not in let
+
+
+def test_cells_are_thin_and_those_of_one_set_alone_go(spark, rng):
+    """What is shuffled of cells is (cell, key, n, pos); frequent words come last in a prefix, so texts that share just these share no cell."""
+    filler = [f"f{i}" for i in range(4)]
+    rows = [(i, " ".join([*(f"u{i}-{j}" for j in range(40)), *(rng.choice(filler) for _ in range(60))])) for i in range(30)]
+    rows += [(100, rows[0][1] + " end"), (101, rows[0][1] + " END")]
+    marked = J.prefixes(spark.createDataFrame(rows, "doc_id bigint, text string"), S.majority)
+    keys = {r.doc_id: r.key for r in marked.collect()}
+    shared, *_ = J.shared_cells(marked)
+    got = [tuple(r) for r in shared.collect()]
+    assert shared.columns == ["cell", "key", "n", "pos"] and len(got) == len(set(got)) > 0
+    assert {k for _, k, _, _ in got} == {keys[0], keys[100]} and keys[100] == keys[101]
+
+
 def test_a_group_about_the_bound_makes_few_pairs(spark, rng, monkeypatch):
     """Copies of a template that share lines but are too different: they meet in cells, and their pairs are not made."""
     made, verified = [], J.verified
